@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import decontam, oracle, packing, quality, secretscan, tokencount, tokenstore
+from . import decontam, neardup, oracle, packing, quality, secretscan, suffixdedup, tokencount, tokenstore, toxicity, urlfilter
 from .common import table
 
 
@@ -27,6 +26,16 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.store_and_read(table(spark, sf_dir, "documents"), spark)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_labelled(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.report(table(spark, sf_dir, "documents"))
 
@@ -35,5 +44,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_quality_rules, op4_token_output, op7_secret_scan, op8_token_counts)}
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_quality_rules, op4_token_output, op5_suffix_array_dedup, op6_toxicity, op7_secret_scan, op8_token_counts, op9_minhash, op10_url_filters)}
 ORACLE: dict[str, str] = {"op2_decontamination": oracle.OP2, "op3_quality_rules": oracle.OP3, "op7_secret_scan": oracle.OP7}
