@@ -50,6 +50,15 @@ def materialise(df: DataFrame, at: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: A table of ids, keys or hashes of up to so many rows, counted first, is broadcast; a larger one is joined by shuffle.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a written table of few and short columns, to be broadcast if its rows are few enough."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def filesystem(uri: str):
     """pyarrow's file system of a URI (file, hdfs, s3, gs, ...), and the path there."""
     from pyarrow import fs

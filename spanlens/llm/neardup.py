@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import by_bytes, materialise, texts
+from .common import by_bytes, materialise, small, texts
 from .components import components
 from .shingles import band_keys, circulant, linked, set_hashes, shingle_sets
 
@@ -135,29 +135,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, b
     ship(docs.sparkSession)
     sig = materialise(signatures(docs, rows, bands))
     full = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(full.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    same = ["c1", "c2", "n_shingles"]
+    classes = small(materialise(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")))
+    reps = full.join(classes, same, "left").where("rep is null or rep = doc_id").drop("rep")
     keys = materialise(reps.select("doc_id", F.explode("bands").alias("key")).distinct())
-    buckets = materialise(keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"))
-    pairs = materialise(keys.join(buckets.select("key", "least"), "key").where("doc_id <> least").select(F.col("least").alias("u"), F.col("doc_id").alias("v")).distinct())
+    buckets = small(materialise(keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")))
+    shared = materialise(keys.join(buckets, "key"))
+    pairs = materialise(shared.where("doc_id <> least").select(F.col("least").alias("u"), F.col("doc_id").alias("v")).distinct())
     # texts of candidates only; of rows of one doc_id, the set that it is known by is any of theirs
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    asked = small(materialise(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()))
     held = materialise(texts(docs).join(asked, "doc_id", "left_semi"))
     u, v = held.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), held.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
     links = materialise(_verified(pairs.join(u, "u").join(v, "v"), percent))
-    label = materialise(components(links))
-    # rows of one doc_id, and classes, tie documents together too
-    labelled = keys.join(buckets.where("n > 2").select("key", "n"), "key").join(label, keys["doc_id"] == label["node"], "left").select("key", "n", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    label = small(materialise(components(links)))
+    many = shared.where("n > 2")
+    labelled = many.join(label, many["doc_id"] == label["node"], "left").select("key", "n", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    mixed = small(materialise(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")))
     members = labelled.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / _BLOCK))
     members = members.join(reps.select("doc_id", "n_shingles", "bands", "sig"), "doc_id").join(held, "doc_id")
     more = materialise(_across(members, bands, percent))
-    tied = full.select("doc_id", "c1", "c2", "n_shingles").join(classes, ["c1", "c2", "n_shingles"]).select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).where("u <> v")
-    twice = full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    tied_twice = tied.join(twice, tied["v"] == twice["doc_id"], "left_semi")
-    final = components(links.union(more).union(tied_twice))
-    final = materialise(final)
-    out = sig.join(classes, ["c1", "c2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"))
+    # rows of one doc_id tie the classes that they are in together
+    twice = small(materialise(full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")))
+    tied = full.select("doc_id", *same).join(twice, "doc_id", "left_semi").join(classes, same).select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).where("u <> v")
+    final = small(materialise(components(links.union(more).union(tied))))
+    out = sig.join(classes, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
     out = out.join(final, out["class_id"] == final["node"], "left")
     component = F.coalesce("component", "class_id")
     return out.select("doc_id", "n_shingles", "class_id", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -165,5 +166,5 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, b
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with their columns, of the least doc_id of each group of near-duplicates."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = small(materialise(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
