@@ -24,7 +24,7 @@ from .common import by_bytes, materialise, mix, prefix_hashes, span_hashes, text
 from .suffixsort import Suffixes
 
 LENGTH, K = 50, 12
-_BATCH, _BUCKET, _ROWS = 6 << 20, 12 << 20, 40_000
+_BATCH, _BUCKET, _ROWS = 3 << 20, 8 << 20, 20_000
 
 
 def _packed(*arrays: object) -> bytes:
@@ -149,16 +149,18 @@ def _dealt(docs: DataFrame, buckets: int, homes: int, length: int, k: int) -> Da
 
 def _spans_of_bucket(blobs: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """doc, tie, start, end of the spans covered by a smaller document, for the contexts of one bucket."""
-    cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     twins: list[list[np.ndarray]] = [[] for _ in range(3)]
     total = 0
-    for ids, ties, row, step, count, short, ctx, of, row2, where2 in map(_unpacked, blobs):
+    while blobs:  # each is dropped once it is unpacked
+        ids, ties, row, step, count, short, ctx, of, row2, where2 = _unpacked(blobs.pop())
         for c, a in zip(cols, (ids[row], ties[row], np.cumsum(step, dtype=np.int64), count.astype(np.int64), short, ctx), strict=False):
             c.append(a)
         for c, a in zip(twins, (of.astype(np.int64) + total, ties[row2], where2.astype(np.int64)), strict=True):
             c.append(a)
         total += len(row)
-    doc, tie, where, count, short, ctx = (np.concatenate(c) for c in cols[:6])
+    doc, tie, where, count, short = (np.concatenate(c) for c in cols[:5])
+    ctx = np.concatenate(cols.pop(5))
     t_of, t_tie, t_where = (np.concatenate(c) for c in twins)
     none = np.zeros(0, np.int64)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # entry, first and one past the last byte, in the entry
@@ -174,8 +176,11 @@ def _spans_of_bucket(blobs: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     order = np.argsort(short, kind="stable")
     left = many(order, short[order], doc)
     if len(left):
-        sub = Suffixes(ctx[left], length)
-        whole = mix(sub.hashes(np.arange(len(left)), np.zeros(len(left), np.int64), count[left] + (length - 1)) + short[left])
+        whole = np.empty(len(left), np.uint64)
+        for i in range(0, len(left), _ROWS):
+            e = left[i : i + _ROWS]
+            sub = Suffixes(ctx[e], length)
+            whole[i : i + _ROWS] = mix(sub.hashes(np.arange(len(e)), np.zeros(len(e), np.int64), count[e] + (length - 1)) + short[e])
         order, lead = _merge(doc[left], whole, ctx[left], count[left])
         covered = doc[left[order]] > doc[left[order[lead]]]
         e = left[order[covered]]
@@ -243,6 +248,7 @@ def duplicate_spans(docs: DataFrame, homes: int, buckets: int, length: int = LEN
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [(int(kind[5:]), blob) for kind, blob in zip(pdf["kind"], pdf["blob"], strict=True) if kind != "context"]
         contexts = [blob for kind, blob in zip(pdf["kind"], pdf["blob"], strict=True) if kind == "context"]
+        del pdf
         if len(contexts):
             doc, tie, start, end = _spans_of_bucket(contexts, length)
             home = _home(doc, tie, homes)
