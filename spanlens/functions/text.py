@@ -135,15 +135,26 @@ def default_prefixes(model: Column) -> Column:
     return F.struct(F.when(e5, "query: ").otherwise("").alias("query"), F.when(e5, "passage: ").otherwise("").alias("passage"))
 
 
+def quote(c: Column) -> Column:
+    """A pattern that matches the text itself."""
+    return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
 def find_all(needle: Column, hay: Column) -> Column:
     """0-based places of needle in hay, overlapping ones too; none for an empty needle.
 
-    Gaps come from a split at the literal needle, which finds those that do not overlap; when the needle can overlap itself,
-    every place is tried.
+    A split before each place where the needle follows cuts at all of them, but for one at the start; the lengths of
+    the pieces are the distances between them.
     """
-    every = F.filter(F.sequence(F.lit(1), F.greatest(F.length(hay) - F.length(needle) + 1, F.lit(1))), lambda i: F.substring(hay, i, F.length(needle)) == needle)
-    found = F.when(F.contains(hay, needle) & (F.length(needle) > 0), F.transform(every, lambda i: i - 1))
-    return F.coalesce(found, F.array().cast("array<int>"))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    starts = F.aggregate(F.split(hay, F.concat(F.lit("(?="), quote(needle), F.lit(")")), -1), empty, step, lambda acc: acc["out"])
+    headed = F.startswith(hay, needle)
+    found = F.filter(starts, lambda at: (at > 0) | headed)
+    return F.coalesce(F.when(F.contains(hay, needle) & (F.length(needle) > 0), found), F.array().cast("array<int>"))
 
 
 def normalize_rows(v: Column) -> Column:

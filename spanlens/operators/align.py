@@ -158,21 +158,17 @@ def locate_span(raw: str | None, body: str | None, title: str | None = None, aut
 def locate_exact(span: Column, body: Column) -> Column:
     """struct(start, end, n_matches) of a span in a body but for white space; nulls if it isn't there.
 
-    Offsets in the text without white space are mapped back by counting: start is where the prefix with as many other
-    characters ends.
+    A pattern that allows white space between any two characters of the span cuts the body at its first match, so the
+    lengths of the cut and of the match are the offsets.
     """
     needle, hay = squash(strip_tags(span)), squash(body)
-    hits = find_all(needle, hay)
-    first = F.get(hits, F.lit(0))
-
-    def after(n: Column) -> Column:
-        """Characters of body up to the n-th that isn't white space, that one included."""
-        pieces = F.regexp_extract_all(body, F.lit(r"(?sU)\s*\S"), F.lit(0))
-        return F.length(F.array_join(F.slice(pieces, F.lit(1), n), ""))
-
-    found = F.size(hits) > 0
-    start = F.when(found, after(first + 1) - 1)
-    return F.struct(start.alias("start"), F.when(found, after(first + F.length(needle))).alias("end"), F.size(hits).alias("n_matches"))
+    gap = "(?U:\\s)*"
+    pattern = F.regexp_replace(needle, "(?s)(.)", "\\\\Q$1\\\\E" + gap.replace("\\", "\\\\"))
+    pattern = F.left(pattern, F.length(pattern) - len(gap))
+    found = F.contains(hay, needle) & (F.length(needle) > 0)
+    start = F.when(found, F.length(F.get(F.split(body, pattern, 2), F.lit(0))))
+    end = start + F.length(F.regexp_substr(body, pattern))
+    return F.struct(start.alias("start"), F.when(found, end).alias("end"), F.size(find_all(needle, hay)).alias("n_matches"))
 
 
 def align(spans: DataFrame, threshold: float = FUZZY) -> DataFrame:

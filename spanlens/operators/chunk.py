@@ -90,10 +90,15 @@ def paragraph_spans(body: Column) -> Column:
     return _trimmed(body, F.flatten(F.transform(blank_line_spans(body), one)))
 
 
-def overlap_spans(body: Column, window: int = WINDOW, overlap: float = OVERLAP) -> Column:
+def token_pieces(body: Column) -> Column:
+    """Each token with the white space before it."""
+    return F.regexp_extract_all(body, F.lit(r"(?U)\s*\S+"), F.lit(0))
+
+
+def overlap_spans(body: Column, window: int = WINDOW, overlap: float = OVERLAP, pieces: Column | None = None) -> Column:
     """Windows of tokens; the first starts at 0 and the last ends with the body. A body without tokens has none."""
     step = max(1, window - int(window * overlap))
-    pieces = F.regexp_extract_all(body, F.lit(r"(?U)\s*\S+"), F.lit(0))
+    pieces = token_pieces(body) if pieces is None else pieces
     n = F.size(pieces)
     count = F.when(n <= window, F.lit(1)).otherwise(F.ceil((n - window) / F.lit(float(step))).cast("int") + 1)
 
@@ -110,11 +115,13 @@ def overlap_spans(body: Column, window: int = WINDOW, overlap: float = OVERLAP)
 STRATEGIES = {"paragraph": paragraph_spans, "overlap": overlap_spans, "sentence": sentence_spans}
 
 
-def chunk(texts: DataFrame, strategy: str, **how: float) -> DataFrame:
+def chunk(texts: DataFrame, strategy: str, **how: object) -> DataFrame:
     """chunk_id, text_id, idx, chunk_text, start_char, end_char, n_tokens of texts (text_id, body)."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy!r}")
     body = F.col("body")
+    if strategy == "overlap":  # a column of its own, so that it is made once a text and not once a window
+        texts, how = texts.withColumn("_pieces", token_pieces(body)), {**how, "pieces": F.col("_pieces")}
     rows = texts.select("text_id", "body", F.posexplode(STRATEGIES[strategy](body, **how)).alias("idx", "s"))
     piece = F.substring(body, F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     return rows.select(F.format_string(f"%s_{strategy}_c%03d", F.col("text_id").cast("string"), "idx").alias("chunk_id"), "text_id", "idx", piece.alias("chunk_text"), F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char")).withColumn("n_tokens", n_tokens(F.col("chunk_text")))

@@ -172,12 +172,13 @@ def _evaluation(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     """Overlap chunks of all documents ranked for each item that some document holds, with the span there as
     evidence and the first 200 characters of that document as the distractor."""
     t = texts(spark, sf)
-    chunks = chunk.chunk(t, "overlap")
-    g = gold(spark, sf)
+    # read by every statistic of the index and by the metrics
+    chunks = chunk.chunk(t, "overlap").withColumn("tokens", word_tokenize(F.col("chunk_text"), is_nfc=True)).drop("chunk_text").persist()
+    g = gold(spark, sf).persist()
     span = lambda a, b: F.struct(F.lit("exact").alias("status"), a.alias("start"), b.alias("end"))
     g = g.join(t.select("text_id", F.length("body").alias("n")), "text_id")
     q = g.select("question_id", "question", "text_id", span(F.col("start"), F.col("end")).alias("critical_span"), span(F.lit(0), F.least(F.lit(200), F.col("n"))).alias("distractor_span"))
-    docs = chunks.select(F.lit("*").alias("scope"), F.col("chunk_id").alias("doc_id"), word_tokenize(F.col("chunk_text"), is_nfc=True).alias("tokens"))
+    docs = chunks.select(F.lit("*").alias("scope"), F.col("chunk_id").alias("doc_id"), "tokens")
     asked = q.select(F.col("question_id").alias("query_id"), F.lit("*").alias("scope"), word_tokenize(F.col("question"), is_nfc=True).alias("tokens"))
     ranked = BM25Index(docs).rank(asked).select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("chunk_id"), "score", "rank")
     return ranked, q, chunks
