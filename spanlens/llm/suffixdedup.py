@@ -24,13 +24,14 @@ from .common import by_bytes, materialise, mix, prefix_hashes, span_hashes, text
 from .suffixsort import Suffixes
 
 LENGTH, K = 50, 12
+_LEVEL = 6
 _BATCH, _BUCKET, _ROWS = 3 << 20, 8 << 20, 20_000
 
 
-def _packed(*arrays: object) -> bytes:
+def _packed(*arrays: object, level: int = 3) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(arrays, protocol=5))
 
 
 def _unpacked(blob: bytes) -> tuple:
@@ -134,8 +135,10 @@ def _dealt(docs: DataFrame, buckets: int, homes: int, length: int, k: int) -> Da
                 one = keep[by[cuts[b] : cuts[b + 1]]]
                 if len(one):
                     t = np.flatnonzero(home == b) if len(home) else np.zeros(0, np.int64)
-                    short = (least[one] // np.uint64(buckets)).astype(np.uint32)
-                    blobs.append((b, "context", _packed(ids, ties, row[one], np.diff(where[one], prepend=0).astype(np.int32), count[one].astype(np.uint8), short, ctx[one], place[of[t]].astype(np.int32), row[same[t]], where[same[t]].astype(np.int32))))
+                    short = (least[one] // np.uint64(buckets)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+                    used = ctx[one][np.arange(width)[None, :] < (count[one] + (length - 1))[:, None]]
+                    steps = np.diff(row[one], prepend=0), np.diff(where[one], prepend=0).astype(np.int32)
+                    blobs.append((b, "context", _packed(ids, ties, *steps, count[one].astype(np.uint8), short.copy(), used, place[of[t]].astype(np.int32), row[same[t]], where[same[t]].astype(np.int32), level=_LEVEL)))
             if len(done):
                 h = _home(ids[row[done]], ties[row[done]], homes)
                 for b in np.unique(h):
@@ -147,14 +150,20 @@ def _dealt(docs: DataFrame, buckets: int, homes: int, length: int, k: int) -> Da
     return docs.select("doc_id", "text", "tie").mapInArrow(run, "bucket long, kind string, blob binary")
 
 
-def _spans_of_bucket(blobs: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+def _spans_of_bucket(blobs: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
     """doc, tie, start, end of the spans covered by a smaller document, for the contexts of one bucket."""
     cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     twins: list[list[np.ndarray]] = [[] for _ in range(3)]
     total = 0
     while blobs:  # each is dropped once it is unpacked
-        ids, ties, row, step, count, short, ctx, of, row2, where2 = _unpacked(blobs.pop())
-        for c, a in zip(cols, (ids[row], ties[row], np.cumsum(step, dtype=np.int64), count.astype(np.int64), short, ctx), strict=False):
+        ids, ties, row, step, count, low, used, of, row2, where2 = _unpacked(blobs.pop())
+        row, count = np.cumsum(row), count.astype(np.int64)
+        short = np.zeros((len(low), 4), np.uint8)
+        short[:, :3] = low
+        short = short.view("<u4").reshape(-1)
+        ctx = np.zeros((len(row), 2 * length - k), np.uint8)
+        ctx[np.arange(ctx.shape[1])[None, :] < (count + (length - 1))[:, None]] = used
+        for c, a in zip(cols, (ids[row], ties[row], np.cumsum(step, dtype=np.int64), count, short, ctx), strict=False):
             c.append(a)
         for c, a in zip(twins, (of.astype(np.int64) + total, ties[row2], where2.astype(np.int64)), strict=True):
             c.append(a)
@@ -250,7 +259,7 @@ def duplicate_spans(docs: DataFrame, homes: int, buckets: int, length: int = LEN
         contexts = [blob for kind, blob in zip(pdf["kind"], pdf["blob"], strict=True) if kind == "context"]
         del pdf
         if len(contexts):
-            doc, tie, start, end = _spans_of_bucket(contexts, length)
+            doc, tie, start, end = _spans_of_bucket(contexts, length, k)
             home = _home(doc, tie, homes)
             by = np.lexsort((start, doc, home))
             cuts = np.searchsorted(home[by], np.arange(homes + 1))
