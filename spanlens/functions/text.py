@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -76,10 +76,19 @@ def get_tokenizer(analyzer: str, **how):
     raise ValueError(f"unknown analyzer: {analyzer!r}")
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value of c, which is evaluated once however often body uses it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def joined_ngrams(tokens: Column, n: int = 3) -> Column:
     """The distinct n-grams of all tokens written together, across words; a shorter string is its own only member."""
-    s = F.array_join(tokens, "")
-    return F.when(F.length(s) < n, F.array(s)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, n))))
+
+    def of(s: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, n))
+        return F.when(F.length(s) < n, F.array(s)).otherwise(F.array_distinct(every))
+
+    return let(F.array_join(tokens, ""), of)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -146,15 +155,18 @@ def find_all(needle: Column, hay: Column) -> Column:
     A split before each place where the needle follows cuts at all of them, but for one at the start; the lengths of
     the pieces are the distances between them.
     """
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    none = F.array().cast("array<int>")
+    empty = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
         return F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
 
-    starts = F.aggregate(F.split(hay, F.concat(F.lit("(?="), quote(needle), F.lit(")")), -1), empty, step, lambda acc: acc["out"])
-    headed = F.startswith(hay, needle)
-    found = F.filter(starts, lambda at: (at > 0) | headed)
-    return F.coalesce(F.when(F.contains(hay, needle) & (F.length(needle) > 0), found), F.array().cast("array<int>"))
+    def of(x: Column) -> Column:
+        starts = F.aggregate(F.split(x["hay"], F.concat(F.lit("(?="), quote(x["needle"]), F.lit(")")), -1), empty, step, lambda acc: acc["out"])
+        found = F.filter(starts, lambda at: (at > 0) | F.startswith(x["hay"], x["needle"]))
+        return F.when(F.contains(x["hay"], x["needle"]) & (F.length(x["needle"]) > 0), found)
+
+    return F.coalesce(let(F.struct(needle.alias("needle"), hay.alias("hay")), of), none)
 
 
 def normalize_rows(v: Column) -> Column:
