@@ -106,14 +106,14 @@ def unknown_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    """Items as questions whose options are cuts of their text."""
+    """Items as questions whose options are their text after a letter."""
     q = questions(spark, sf)
-    shown = F.create_map(*[x for i, c in enumerate("ABCD") for x in (F.lit(c), F.substring("question", 10 * i + 1, 10))])
+    shown = F.create_map(*[x for c in "ABCD" for x in (F.lit(c), F.concat(F.lit(f"{c}: "), "question"))])
     return q.withColumn("presented", shown)
 
 
 def prompt_build(spark: SparkSession, sf: str) -> DataFrame:
-    context = F.when(F.col("question_id") % 2 == 0, F.substring("question", 1, 50))
+    context = F.when(F.col("question_id") % 2 == 0, F.col("question"))
     return _asked(spark, sf).select(F.col("question_id").alias("item_id"), F.md5(F.encode(answer.build_prompt(F.col("question"), F.col("presented"), context), "utf-8")).alias("prompt_md5"))
 
 
@@ -170,8 +170,8 @@ def dup_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rank_contiguity(spark: SparkSession, sf: str) -> DataFrame:
-    """Violations of the ranks of a ranking from which every seventh document is missing."""
-    ranked = BM25Index(retrieval._docs(spark, sf)).rank(retrieval._queries(spark, sf), k=10).where("doc_id % 7 <> 0")
+    """Violations of the ranks of a ranking that lacks each third place."""
+    ranked = BM25Index(retrieval._docs(spark, sf)).rank(retrieval._queries(spark, sf), k=10).where("rank <> 3")
     return contracts.ranking_violations(ranked.select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("chunk_id"), "rank"))
 
 

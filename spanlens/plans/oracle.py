@@ -62,7 +62,7 @@ _EVAL = f"""WITH {_CHUNKS}, {_GOLD},
 {bm25(f"SELECT '*' AS scope, chunk_id AS doc_id, {tok('substr(text, start_char + 1, end_char - start_char)')} AS toks FROM chunks", f"SELECT item_id AS query_id, '*' AS scope, {tok('question')} AS toks FROM g", True)},
 r AS (SELECT query_id, rank, c.n_tokens, c.text_id = g.text_id AS same, c.text_id = g.text_id AND start_char < e AND end_char > s AS hit,
   c.text_id = g.text_id AND start_char < e AND end_char > s AND 2 * (least(end_char, e) - greatest(start_char, s)) >= e - s AS half,
-  c.text_id = g.text_id AND start_char < least(200, len(body)) AND end_char > 0 AS lure
+  c.text_id = g.text_id AND start_char < 2 * len(body) // 3 AND end_char > len(body) // 3 AS lure
   FROM ranked JOIN chunks c ON c.chunk_id = ranked.doc_id JOIN g ON g.item_id = query_id),
 m AS (SELECT query_id, min(rank) FILTER (hit) AS a, min(rank) FILTER (half) AS h, min(rank) FILTER (same) AS src, min(rank) FILTER (lure) AS d,
   coalesce(sum(n_tokens) FILTER (rank <= 1), 0) AS t1, coalesce(sum(n_tokens) FILTER (rank <= 3), 0) AS t3, coalesce(sum(n_tokens) FILTER (rank <= 5), 0) AS t5, coalesce(sum(n_tokens) FILTER (rank <= 10), 0) AS t10 FROM r GROUP BY query_id)"""
@@ -84,7 +84,7 @@ def _values(names: str, rows: list[tuple]) -> str:
 
 _COS = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 u AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e),
-p AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, q.label AS ql, d.label AS dl, list_inner_product(q.v, d.v) / nullif(q.norm * d.norm, 0) AS s FROM u q, u d WHERE q.vec_id < 20)"""
+p AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, q.label AS ql, d.label AS dl, list_inner_product(q.v, d.v) / nullif(q.norm * d.norm, 0) AS s FROM u q, u d WHERE q.vec_id % 100 = 0)"""
 
 
 def _cos(where: str) -> str:
@@ -92,12 +92,12 @@ def _cos(where: str) -> str:
 
 
 _FUSE = f"""{_cos('true')},
-b AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, -abs(q.embedding[1]::DOUBLE - d.embedding[1]::DOUBLE) AS score FROM embeddings q, embeddings d WHERE q.vec_id < 20)),
+b AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, -abs(q.embedding[1]::DOUBLE - d.embedding[1]::DOUBLE) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0)),
 ab AS (SELECT query_id, doc_id, x.score AS s1, x.rank AS r1, y.score AS s2, y.rank AS r2 FROM ranked x JOIN b y USING (query_id, doc_id))"""
 
 _FUSED = "SELECT query_id AS item_id, doc_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, r1) AS rank FROM f) WHERE rank <= 10"
 
-_LEX = f"{_GOLD}, l AS (SELECT item_id, {tok('question')} AS q, ({tok('body')})[1:200] AS s FROM g)"
+_LEX = f"{_GOLD}, l AS (SELECT item_id, {tok('question')} AS q, {tok('body')} AS s FROM g)"
 _PRED = "p AS (SELECT doc_id, 'quality' AS config_id, quality = 1 AS ok FROM labels UNION ALL SELECT doc_id, 'toxic', toxic = 1 FROM labels), j AS (SELECT config_id, p.doc_id AS question_id, ok, lang, source FROM p LEFT JOIN documents d ON d.doc_id = p.doc_id)"
 _EV = """f AS (SELECT event_type AS config_id, user_id AS question_id, event_id, user_id % 3 AS band FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) = 1),
 x AS (SELECT *, event_id % 5 = 0 AS ok, ['correct', 'misunderstand', 'distractor_span', 'no_support', 'unparseable'][event_id % 5 + 1] AS choice FROM f)"""
@@ -114,7 +114,7 @@ z AS (SELECT doc_id, j, piece, off + len(regexp_extract(piece, '^\s*')) AS a, of
 
 
 def _filled(template: str, context: str) -> str:
-    parts = {"context": context, "question": "text"} | {f"option_{c}": f"substr(text, {10 * i + 1}, 10)" for i, c in enumerate("abcd")}
+    parts = {"context": context, "question": "text"} | {f"option_{c}": f"'{c.upper()}: ' || text" for c in "abcd"}
     out, rest = [], template
     while "{" in rest:
         before, _, rest = rest.partition("{")
@@ -167,14 +167,14 @@ SELECT v."group", count(ok) AS n, count(*) FILTER (lured) AS chose_distractor, r
     "join_preds_questions": f"WITH {_PRED} SELECT config_id, question_id, ok AS is_correct, lang, source FROM j",
     "anti_join_resume": "SELECT doc_id AS question_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "unknown_ids": "SELECT user_id AS question_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY user_id",
-    "prompt_build": f"SELECT item_id, md5(CASE WHEN item_id % 2 = 0 THEN {_filled(PROMPT, 'substr(text, 1, 50)')} ELSE {_filled(CLOSED_PROMPT, '')} END) AS prompt_md5 FROM benchmark",
+    "prompt_build": f"SELECT item_id, md5(CASE WHEN item_id % 2 = 0 THEN {_filled(PROMPT, 'text')} ELSE {_filled(CLOSED_PROMPT, '')} END) AS prompt_md5 FROM benchmark",
     "context_topk": f"WITH {bm25(_DOCS, _ITEMS)} SELECT query_id AS item_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY rank)) AS context_md5, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS doc_ids FROM ranked JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY query_id",
     "parse_letter_cases": _values("id, letter, status", [(i, letter, status) for i, (_, letter, status) in enumerate(LETTER_CASES)]),
     "option_seed_hash": "SELECT item_id, (('0x' || substr(sha256(concat(item_id, '|13')), 1, 16))::UBIGINT)::VARCHAR AS seed FROM benchmark",
     "random_hashed": "SELECT item_id, chr(65 + ('0x' || substr(sha256(concat('13:', item_id)), 1, 1))::INT % 4) AS letter FROM benchmark",
     "stratified_sample_hash": "SELECT doc_id, concat(lang, ':', source) AS stratum FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY sha256(concat(doc_id, '|13')), doc_id) <= 3",
     "dup_ids": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1",
-    "rank_contiguity": f"WITH {bm25(_DOCS, _ITEMS)} SELECT query_id::VARCHAR AS key, 'ranks are not 1..n' AS message FROM ranked WHERE rank <= 10 AND doc_id % 7 <> 0 GROUP BY query_id HAVING min(rank) <> 1 OR max(rank) <> count(*)",
+    "rank_contiguity": f"WITH {bm25(_DOCS, _ITEMS)} SELECT query_id::VARCHAR AS key, 'ranks are not 1..n' AS message FROM ranked WHERE rank <= 10 AND rank <> 3 GROUP BY query_id HAVING min(rank) <> 1 OR max(rank) <> count(*)",
     "human_eval_export": f"""WITH {_EV}, y AS (SELECT item_id, substr(text, 1, 40) AS preview, config_id, choice FROM benchmark JOIN x ON question_id = item_id)
 SELECT item_id, preview, count(*)::INT AS n_models, string_agg(concat(config_id, '=', choice), ';' ORDER BY config_id) AS answers, (1 + sum(len(config_id) + len(choice) + 6))::INT AS json_length FROM y GROUP BY ALL""",
     "run_summary": f"WITH {_EV} SELECT count(*) AS n_new, count(*) FILTER (ok) AS correct, count(*) FILTER (choice = 'unparseable') AS unparseable, 0::BIGINT AS error, round(avg(ok::INT), 6) AS accuracy_new FROM x",

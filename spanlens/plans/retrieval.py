@@ -135,9 +135,10 @@ def bm25_restricted_by_lang(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and those that are searched for: every hundredth id."""
     e = table(spark, sf, "embeddings")
     docs = e.select(F.col("vec_id").alias("doc_id"), "embedding", F.col("label").alias("text_id"))
-    return docs, e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("text_id"))
+    return docs, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("text_id"))
 
 
 def dense_cosine_top10(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,14 +171,14 @@ def weighted_minmax_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 def _evaluation(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Overlap chunks of all documents ranked for each item that some document holds, with the span there as
-    evidence and the first 200 characters of that document as the distractor."""
+    evidence and the middle third of that document as the distractor."""
     t = texts(spark, sf)
     # read by every statistic of the index and by the metrics
     chunks = chunk.chunk(t, "overlap").withColumn("tokens", word_tokenize(F.col("chunk_text"), is_nfc=True)).drop("chunk_text").persist()
     g = gold(spark, sf).persist()
     span = lambda a, b: F.struct(F.lit("exact").alias("status"), a.alias("start"), b.alias("end"))
     g = g.join(t.select("text_id", F.length("body").alias("n")), "text_id")
-    q = g.select("question_id", "question", "text_id", span(F.col("start"), F.col("end")).alias("critical_span"), span(F.lit(0), F.least(F.lit(200), F.col("n"))).alias("distractor_span"))
+    q = g.select("question_id", "question", "text_id", span(F.col("start"), F.col("end")).alias("critical_span"), span(F.floor(F.col("n") / 3).cast("int"), F.floor(2 * F.col("n") / 3).cast("int")).alias("distractor_span"))
     docs = chunks.select(F.lit("*").alias("scope"), F.col("chunk_id").alias("doc_id"), "tokens")
     asked = q.select(F.col("question_id").alias("query_id"), F.lit("*").alias("scope"), word_tokenize(F.col("question"), is_nfc=True).alias("tokens"))
     ranked = BM25Index(docs).rank(asked).select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("chunk_id"), "score", "rank")
@@ -215,7 +216,7 @@ def context_tokens_stats(spark: SparkSession, sf: str) -> DataFrame:
 def _lexpairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each item against the first document that holds it."""
     g = gold(spark, sf).join(texts(spark, sf), "text_id")
-    return g.select(F.col("question_id").alias("pair_id"), word_tokenize(F.col("question"), is_nfc=True).alias("q_words"), F.slice(word_tokenize(F.col("body"), is_nfc=True), 1, 200).alias("s_words"))
+    return g.select(F.col("question_id").alias("pair_id"), word_tokenize(F.col("question"), is_nfc=True).alias("q_words"), word_tokenize(F.col("body"), is_nfc=True).alias("s_words"))
 
 
 def jaccard_word(spark: SparkSession, sf: str) -> DataFrame:
