@@ -63,3 +63,33 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM d LEFT JOIN a USING (doc_id)
 """
 )
+
+# Windows are compared as hexadecimal strings; kept bytes are what lies between the runs of covered ones.
+OP5 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+m AS (SELECT w, min(doc_id) AS f FROM w GROUP BY w),
+t AS (SELECT doc_id, p, p > 50 + coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) AS fresh FROM w JOIN m USING (w) WHERE f < doc_id),
+i AS (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS i FROM t),
+s AS (SELECT doc_id, i, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, i),
+g AS (SELECT doc_id, a AS upto, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS start FROM s UNION ALL SELECT d.doc_id, d.n, coalesce(max(b), 0) FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, d.n),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * start + 1, 2 * (upto - start)), '' ORDER BY start) AS kept FROM g JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM s GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+OP9 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM k),
+r AS (SELECT s.* FROM s JOIN c ON s.doc_id = c.doc_id AND c.class_id = c.doc_id),
+l AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM r x JOIN r y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * m >= 85 * (p.n + q.n - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(x, y) AS (SELECT a, a FROM e UNION SELECT reach.x, e.b FROM reach JOIN e ON reach.y = e.a),
+f AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(f.m, c.class_id, d.doc_id) AS component_id, d.doc_id = coalesce(f.m, c.class_id, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN f ON f.x = c.class_id
+"""

@@ -53,4 +53,4 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_quality_rules, op4_token_output, op5_suffix_array_dedup, op6_toxicity, op7_secret_scan, op8_token_counts, op9_minhash, op10_url_filters)}
-ORACLE: dict[str, str] = {"op2_decontamination": oracle.OP2, "op3_quality_rules": oracle.OP3, "op7_secret_scan": oracle.OP7}
+ORACLE: dict[str, str] = {"op2_decontamination": oracle.OP2, "op3_quality_rules": oracle.OP3, "op5_suffix_array_dedup": oracle.OP5, "op7_secret_scan": oracle.OP7, "op9_minhash": oracle.OP9}
