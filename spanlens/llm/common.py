@@ -25,7 +25,9 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def lower_ascii(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z made a-z and nothing else; a text of ASCII only goes the short way."""
+    exact = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(exact)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -14,6 +14,8 @@ from .common import lower_ascii, materialise, texts
 
 #: A word is a run of a-z, 0-9 and characters beyond ASCII, after A-Z are lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words, counted before lower-casing.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Up to so many rows, a table derived from the benchmark alone is broadcast; a larger one is joined by shuffle.
 SMALL_ROWS = 200_000
 
@@ -103,7 +105,7 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     covered = ends.groupBy("doc_id", "tie").agg(F.sum(F.greatest(F.col("end") - F.greatest("at", "before"), F.lit(0))).alias("n_hit"))
     items = hits.select("doc_id", "tie", "key").distinct().join(index.items.select("key", "item_id"), "key").groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     found = covered.alias("c").join(items.alias("i"), F.col("c.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("c.tie") == F.col("i.tie"))).select("c.doc_id", "c.tie", "n_hit", "items")
-    base = index.docs.select("doc_id", "tie", F.size("w").cast("long").alias("n_words"))
+    base = texts(docs).select("doc_id", F.xxhash64("text").alias("tie"), F.regexp_count("text", F.lit(ANY_CASE)).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     got = F.coalesce("items", F.array().cast("array<string>"))
     return base.alias("b").join(found.alias("f"), F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.tie") == F.col("f.tie")), "left").select(
