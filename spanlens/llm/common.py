@@ -151,6 +151,14 @@ def joined(texts_: list[bytes], gap: bytes = b"\n") -> tuple[np.ndarray, np.ndar
     return np.frombuffer(gap.join([*texts_, b""]), np.uint8), starts
 
 
+def rows_of(batches: Iterator, text: int = 1) -> Iterator[tuple]:
+    """The rows of Arrow batches, with the column text as bytes; a few hundred become Python objects at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            yield from zip(*[(c.cast("binary") if j == text else c).to_pylist() for j, c in enumerate(part.columns)], strict=True)
+
+
 def by_bytes(rows: Iterator[tuple], limit: int, size) -> Iterator[list[tuple]]:
     """Lists of consecutive rows of about limit bytes; a larger row makes a list of its own."""
     held, n = [], 0

@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import by_bytes, materialise, small, texts
+from .common import by_bytes, materialise, rows_of, small, texts
 from .components import components
 from .shingles import band_keys, circulant, linked, set_hashes, shingle_sets
 
 ROWS, BANDS, PERCENT = 5, 25, 85
-_BATCH = 4 << 20
-_BLOCK = 256
+_BATCH = 2 << 20
+_BLOCK = 128
 
 
 def signatures(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -46,11 +46,7 @@ def signatures(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFra
             ]
             return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "c1", "c2", "bands", "sig"])
 
-        def each() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)
-
-        for group in by_bytes(each(), _BATCH, lambda r: len(r[1]) + 64):
+        for group in by_bytes(rows_of(batches), _BATCH, lambda r: len(r[1]) + 64):
             yield out(group)
 
     return texts(docs).mapInArrow(run, kind)

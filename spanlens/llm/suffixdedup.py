@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import by_bytes, materialise, mix, prefix_hashes, span_hashes, text_bytes, texts
+from .common import by_bytes, materialise, mix, prefix_hashes, rows_of, span_hashes, text_bytes, texts
 from .suffixsort import Suffixes
 
 LENGTH, K = 50, 12
@@ -101,11 +101,7 @@ def _dealt(docs: DataFrame, buckets: int, homes: int, length: int, k: int) -> Da
     width = 2 * length - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True)
-
-        for group in by_bytes(each(), _BATCH, lambda r: len(r[1]) + 64):
+        for group in by_bytes(rows_of(batches), _BATCH, lambda r: len(r[1]) + 64):
             group.sort(key=lambda r: (r[0], r[2]))
             ids, ties = (np.array([r[i] for r in group], np.int64) for i in (0, 2))
             starts = np.concatenate(([0], np.cumsum([len(r[1]) for r in group]))).astype(np.int64)
@@ -274,11 +270,7 @@ def duplicate_spans(docs: DataFrame, homes: int, buckets: int, length: int = LEN
 
 def _texts_by_home(docs: DataFrame, homes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True)
-
-        for group in by_bytes(each(), 2 * _BATCH, lambda r: len(r[1]) + 64):
+        for group in by_bytes(rows_of(batches), 2 * _BATCH, lambda r: len(r[1]) + 64):
             home = _home(np.array([r[0] or 0 for r in group], np.int64), np.array([r[2] for r in group], np.int64), homes)
             rows = [(int(h), _packed([group[i] for i in np.flatnonzero(home == h)])) for h in np.unique(home)]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["home", "blob"])
