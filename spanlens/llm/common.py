@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -52,6 +53,13 @@ def materialise(df: DataFrame, at: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose results are written and whose plans are gone. It does so when the
+    driver collects its garbage, which otherwise may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: A table of ids, keys or hashes of up to so many rows, counted first, is broadcast; a larger one is joined by shuffle.
 SMALL_ROWS = 500_000
 

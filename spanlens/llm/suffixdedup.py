@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import by_bytes, materialise, mix, prefix_hashes, rows_of, span_hashes, text_bytes, texts
+from .common import by_bytes, materialise, mix, prefix_hashes, release, rows_of, span_hashes, text_bytes, texts
 from .suffixsort import Suffixes
 
 LENGTH, K = 50, 12
 _LEVEL = 6
-_BATCH, _BUCKET, _ROWS = 3 << 20, 8 << 20, 20_000
+_BATCH, _BUCKET, _ROWS = 4 << 20, 20 << 20, 20_000
 
 
 def _packed(*arrays: object, level: int = 3) -> bytes:
@@ -133,8 +133,8 @@ def _dealt(docs: DataFrame, buckets: int, homes: int, length: int, k: int) -> Da
                     t = np.flatnonzero(home == b) if len(home) else np.zeros(0, np.int64)
                     short = (least[one] // np.uint64(buckets)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
                     used = ctx[one][np.arange(width)[None, :] < (count[one] + (length - 1))[:, None]]
-                    steps = np.diff(row[one], prepend=0), np.diff(where[one], prepend=0).astype(np.int32)
-                    blobs.append((b, "context", _packed(ids, ties, *steps, count[one].astype(np.uint8), short.copy(), used, place[of[t]].astype(np.int32), row[same[t]], where[same[t]].astype(np.int32), level=_LEVEL)))
+                    steps = np.diff(row[one], prepend=0).astype(np.int32), np.diff(where[one], prepend=0).astype(np.int32)
+                    blobs.append((b, "context", _packed(np.diff(ids, prepend=0), ties, *steps, count[one].astype(np.uint8), short.copy(), used, place[of[t]].astype(np.int32), row[same[t]], where[same[t]].astype(np.int32), level=_LEVEL)))
             if len(done):
                 h = _home(ids[row[done]], ties[row[done]], homes)
                 for b in np.unique(h):
@@ -153,7 +153,7 @@ def _spans_of_bucket(blobs: list[bytes], length: int, k: int) -> tuple[np.ndarra
     total = 0
     while blobs:  # each is dropped once it is unpacked
         ids, ties, row, step, count, low, used, of, row2, where2 = _unpacked(blobs.pop())
-        row, count = np.cumsum(row), count.astype(np.int64)
+        ids, row, count = np.cumsum(ids), np.cumsum(row), count.astype(np.int64)
         short = np.zeros((len(low), 4), np.uint8)
         short[:, :3] = low
         short = short.view("<u4").reshape(-1)
@@ -272,7 +272,7 @@ def _texts_by_home(docs: DataFrame, homes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_bytes(rows_of(batches), 2 * _BATCH, lambda r: len(r[1]) + 64):
             home = _home(np.array([r[0] or 0 for r in group], np.int64), np.array([r[2] for r in group], np.int64), homes)
-            rows = [(int(h), _packed([group[i] for i in np.flatnonzero(home == h)])) for h in np.unique(home)]
+            rows = [(int(h), _packed([group[i] for i in np.flatnonzero(home == h)], level=_LEVEL)) for h in np.unique(home)]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["home", "blob"])
 
     return docs.select("doc_id", "text", "tie").mapInArrow(run, "home long, blob binary")
@@ -317,6 +317,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = K, with_bytes: b
     buckets = max(4, -(-size // _BUCKET))
     homes = max(4, -(-size // _BUCKET))
     spans = materialise(duplicate_spans(rows.where("doc_id is not null"), homes, buckets, length, k))
+    release(docs.sparkSession)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
