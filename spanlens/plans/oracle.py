@@ -113,6 +113,23 @@ o AS (SELECT doc_id, text, j, p[j] AS piece, coalesce(sum(len(p[j])) OVER (PARTI
 z AS (SELECT doc_id, j, piece, off + len(regexp_extract(piece, '^\s*')) AS a, off + len(piece) - len(regexp_extract(piece, '\s*$')) AS b FROM o WHERE regexp_matches(piece, '\S'))"""
 
 
+_PARA = rf"""WITH RECURSIVE s AS (SELECT doc_id, coalesce(text, '') AS text, string_split(regexp_replace(coalesce(text, ''), '(\n[ \t]*\n+)', concat({_CUT}, '\1'), 'g'), {_CUT}) AS p FROM documents),
+o AS (SELECT doc_id, text, j, p[j] AS piece, coalesce(sum(len(p[j])) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM (SELECT doc_id, text, p, unnest(range(1, len(p) + 1)) AS j FROM s)),
+u AS (SELECT doc_id, j AS u, text, off + len(regexp_extract(piece, '^\s*')) AS a, off + len(piece) - len(regexp_extract(piece, '\s*$')) AS b, len(regexp_extract_all(piece, '\S+')) AS n FROM o WHERE regexp_matches(piece, '\S')),
+y AS (SELECT doc_id, u, a, b, string_split(substr(text, a + 1, b - a), chr(10)) AS ls FROM u WHERE n > 180),
+v AS (SELECT doc_id, u, a, b, k, ls[k] AS line, a + coalesce(sum(len(ls[k]) + 1) OVER (PARTITION BY doc_id, u ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS k FROM y)),
+l AS (SELECT *, len(regexp_extract_all(line, '\S+')) AS n, regexp_matches(regexp_replace(line, '\s+$', ''), '[.!?…][»«"''„“”’)\]]*$') AS ends FROM v),
+f(doc_id, u, k, b, opened, held, es, ee) AS (SELECT doc_id, u, 0::BIGINT, b::BIGINT, NULL::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT FROM y UNION ALL
+  SELECT f.doc_id, f.u, l.k, f.b, CASE WHEN l.n = 0 THEN opened WHEN (ends AND held + l.n >= 60) OR held + l.n >= 180 THEN NULL ELSE coalesce(opened, off) END,
+    CASE WHEN l.n = 0 THEN held WHEN (ends AND held + l.n >= 60) OR held + l.n >= 180 THEN 0 ELSE held + l.n END,
+    CASE WHEN l.n > 0 AND ((ends AND held + l.n >= 60) OR held + l.n >= 180) THEN coalesce(opened, off) END, CASE WHEN l.n > 0 AND ((ends AND held + l.n >= 60) OR held + l.n >= 180) THEN off + len(line) END
+  FROM f JOIN l ON l.doc_id = f.doc_id AND l.u = f.u AND l.k = f.k + 1),
+g AS (SELECT doc_id, es AS a, ee AS b FROM f WHERE es IS NOT NULL UNION ALL SELECT doc_id, opened, b FROM f WHERE opened IS NOT NULL AND k = (SELECT max(k) FROM l WHERE l.doc_id = f.doc_id AND l.u = f.u) UNION ALL SELECT doc_id, a, b FROM u WHERE n <= 180),
+h AS (SELECT g.doc_id, substr(text, a + 1, b - a) AS t, a, b FROM g JOIN s USING (doc_id)),
+z AS (SELECT doc_id, a + len(regexp_extract(t, '^\s*')) AS start_char, b - len(regexp_extract(t, '\s*$')) AS end_char, len(regexp_extract_all(t, '\S+')) AS n_tokens FROM h)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_char) - 1 AS idx, start_char, end_char, n_tokens FROM z WHERE n_tokens > 0"""
+
+
 def _filled(template: str, context: str) -> str:
     parts = {"context": context, "question": "text"} | {f"option_{c}": f"'{c.upper()}: ' || text" for c in "abcd"}
     out, rest = [], template
@@ -132,6 +149,7 @@ ORACLE = {
     "chunk_overlap_windows": f"WITH {_CHUNKS} SELECT chunk_id, text_id AS doc_id, start_char, end_char, n_tokens, md5(substr(text, start_char + 1, end_char - start_char)) AS md5 FROM chunks",
     "chunk_overlap_coverage": "SELECT doc_id, 0::BIGINT AS gaps FROM documents",
     "chunk_sentences": rf"WITH {_SENT} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS idx, a AS start_char, b AS end_char, len(regexp_extract_all(piece, '\S+')) AS n_tokens FROM z",
+    "chunk_paragraph_groups": _PARA,
     "chunk_counts": f"WITH {_CHUNKS}, {_SENT} SELECT strategy, doc_id, count(*) AS n FROM (SELECT 'overlap' AS strategy, text_id AS doc_id FROM chunks UNION ALL SELECT 'sentence', doc_id FROM z) GROUP BY ROLLUP (strategy, doc_id)",
     "span_locate_exact": 'SELECT b.item_id, d.doc_id, instr(d.text, b.text) - 1 AS start, instr(d.text, b.text) - 1 + len(b.text) AS "end" FROM benchmark b JOIN documents d ON contains(d.text, b.text)',
     "span_locate_squashed": 'SELECT b.item_id, d.doc_id, instr(d.text, b.text) - 1 AS start, instr(d.text, b.text) - 1 + len(b.text) AS "end" FROM benchmark b JOIN documents d ON contains(d.text, b.text)',
