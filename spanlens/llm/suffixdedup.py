@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import by_bytes, materialise, mix, prefix_hashes, release, rows_of, span_hashes, text_bytes, texts
+from .common import _INVERSE, by_bytes, materialise, mix, powers, prefix_hashes, release, rows_of, span_hashes, text_bytes, texts
 from .suffixsort import Suffixes
 
 LENGTH, K = 50, 12
 _LEVEL = 6
-_BATCH, _BUCKET, _ROWS = 4 << 20, 20 << 20, 20_000
+_BATCH, _BUCKET, _ROWS = 3 << 20, 20 << 20, 20_000
 
 
 def _packed(*arrays: object, level: int = 3) -> bytes:
@@ -44,14 +44,32 @@ def _home(doc: np.ndarray, tie: np.ndarray, n: int) -> np.ndarray:
     return (mix(doc.astype(np.int64).view(np.uint64) ^ mix(tie.astype(np.int64).view(np.uint64))) % np.uint64(n)).astype(np.int64)
 
 
+def _substring_hashes(data: np.ndarray, k: int, block: int = 1 << 18) -> np.ndarray:
+    """The hash of each k-byte substring; a hash doesn't depend on where prefixes start, so blocks are done one by one."""
+    out = np.empty(len(data) - k + 1, np.uint64)
+    for i in range(0, len(out), block):
+        n = min(block, len(out) - i)
+        prefix = prefix_hashes(data[i : i + n + k - 1])
+        out[i : i + n] = mix((prefix[k:] - prefix[:-k]) * powers(_INVERSE, n))
+    return out
+
+
+def _sorted_span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 20_000) -> np.ndarray:
+    """span_hashes() of spans in order of their starts, some at once."""
+    out = np.empty(len(start), np.uint64)
+    for i in range(0, len(start), block):
+        s, e = start[i : i + block], end[i : i + block]
+        out[i : i + block] = span_hashes(prefix_hashes(data[s[0] : e.max()]), s - s[0], e - s[0])
+    return out
+
+
 def stretches(data: np.ndarray, starts: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The first byte of each stretch, its number of windows (length - k + 1 at most), and the hash of the least
     substring; starts are those of the texts in data, with its end last. No window crosses the end of a text."""
     wide, n = length - k + 1, len(data) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    i = np.arange(len(data) - k + 1)
-    least, step = mix(span_hashes(prefix_hashes(data), i, i + k)), 1
+    least, step = _substring_hashes(data, k), 1
     while 2 * step <= wide:
         least = np.minimum(least[:-step], least[step:])
         step *= 2
@@ -110,7 +128,7 @@ def _dealt(docs: DataFrame, buckets: int, homes: int, length: int, k: int) -> Da
             if not len(at):
                 continue
             row = (np.searchsorted(starts, at, "right") - 1).astype(np.int32)
-            ctx, whole = _contexts(data, at, count, length, width), span_hashes(prefix_hashes(data), at, at + count + (length - 1))
+            ctx, whole = _contexts(data, at, count, length, width), _sorted_span_hashes(data, at, at + count + (length - 1))
             order, lead = _merge(ids[row], whole, ctx, count)
             base = order[lead]  # what each one in order equals
             covered = ids[row[order]] > ids[row[base]]
@@ -270,7 +288,7 @@ def duplicate_spans(docs: DataFrame, homes: int, buckets: int, length: int = LEN
 
 def _texts_by_home(docs: DataFrame, homes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in by_bytes(rows_of(batches), 2 * _BATCH, lambda r: len(r[1]) + 64):
+        for group in by_bytes(rows_of(batches), _BATCH, lambda r: len(r[1]) + 64):
             home = _home(np.array([r[0] or 0 for r in group], np.int64), np.array([r[2] for r in group], np.int64), homes)
             rows = [(int(h), _packed([group[i] for i in np.flatnonzero(home == h)], level=_LEVEL)) for h in np.unique(home)]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["home", "blob"])
