@@ -4,7 +4,7 @@ Documents of one set form a class, represented by its least doc_id, so copies ar
 share a band's key are candidates. First each is compared with the least one of its band: this links most groups with one
 comparison a member. Then only bands whose members are still in different components are looked at again, in blocks, and
 every pair of different components in them is decided. A link of the least similarity shares no band with
-probability (1 - s**rows)**bands, 4e-7 for the parameters here; every reported link is verified.
+probability (1 - s**rows)**bands, 1e-7 for the parameters here; every reported link is verified.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .common import by_bytes, materialise, rows_of, small, texts
 from .components import components
 from .shingles import band_keys, circulant, linked, set_hashes, shingle_sets
 
-ROWS, BANDS, PERCENT = 5, 25, 85
+ROWS, BANDS, PERCENT = 5, 40, 80
 _BATCH = 2 << 20
 _BLOCK = 128
 
@@ -107,7 +107,7 @@ def _across(members: DataFrame, bands: int, percent: int) -> DataFrame:
             b = np.arange(a + 1, len(pdf))
             low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
             b = b[(label[b] != label[a]) & (100 * low >= percent * high) & ((own[b] != own[a]) | (i == j))]
-            if len(b):  # a signature's share of equal coordinates is six deviations from its mean there
+            if len(b):  # a signature's share of equal coordinates is six deviations or more from its mean there
                 b = b[(sig[b] == sig[a]).mean(axis=1) >= percent / 100 - 0.2]
             if len(b):  # each pair is decided in the first band that it shares
                 b = b[np.argmax(keys[b] == keys[a], axis=1) == at[a]]

@@ -45,7 +45,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, bands=25).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,3 +71,21 @@ def test_empty_documents(spark, tmp_path):
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_edited_copies_from_80_percent_go(spark, tmp_path):
+    rng = random.Random(8)
+    rows, share = [], {}
+    for d, edits in enumerate((1, 2, 2, 2, 3)):  # of 96 shingles each edit changes five
+        words = [f"d{d}w{rng.randrange(10**6)}" for _ in range(100)]
+        rows.append((d, " ".join(words)))
+        for e in range(edits):
+            words[20 + 20 * e] = f"edit{e}"
+        rows.append((100 + d, " ".join(words)))
+        share[100 + d] = (96 - 5 * edits) / (96 + 5 * edits)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(0.8 <= s < 0.85 for s in share.values()) == 3 and min(share.values()) < 0.8
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()}
+    assert kept == {0, 1, 2, 3, 4} | {d for d, s in share.items() if s < 0.8}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in QUERIES["op9_minhash"](spark, str(tmp_path)).collect() if r.kept} == {0, 1, 2, 3, 4} | {d for d, s in share.items() if s < 0.85}
