@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, materialise
 
 SMALL_ROWS = 200_000
+TOLERANCE, LIMIT = 1e-9, 1000
 
 
 @dataclass(frozen=True)
@@ -53,11 +54,13 @@ def edges(pages: DataFrame) -> DataFrame:
     return links.select("src", lower_ascii(F.col("to")).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = 12) -> DataFrame:
     """node and rank of the personalised PageRank over links (src, dst, n) that starts from seeds (node, seed).
 
     Seeds are scaled to sum 1; a node passes damping of its rank on, dealt over its links by n, and a node without links
     keeps none of it. Nodes out of reach have no row. A very popular node is an aggregate, so it is never gathered.
+    Without rounds, ranks are passed on until no node is new and none changes by more than TOLERANCE of itself; so small
+    ranks, far from the seeds, are as exact as large ones.
     """
     total = seeds.agg(F.sum("seed").alias("s")).first()["s"]
     if not total:
@@ -68,13 +71,21 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     rank = start.select("node", F.col("seed").alias("rank"))
     if share.isEmpty():
         return rank.select("node", (F.col("rank") * (1 - damping)).alias("rank"))
-    for _ in range(rounds):
+    for _ in range(LIMIT if rounds is None else rounds):
         passed = rank.join(share, rank["node"] == share["src"]).select(F.col("dst").alias("node"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = materialise(passed.union(start.select("node", (F.col("seed") * (1 - damping)).alias("rank"))).groupBy("node").agg(F.sum("rank").alias("rank")))
+        dealt = passed.union(start.select("node", (F.col("seed") * (1 - damping)).alias("rank"))).withColumn("was", F.lit(None).cast("double"))
+        held = rank.select("node", F.lit(None).cast("double").alias("rank"), F.col("rank").alias("was"))
+        after = materialise(dealt.union(held).groupBy("node").agg(F.sum("rank").alias("rank"), F.max("was").alias("was")))
+        rank = after.select("node", "rank")
+        if rounds is None and after.where(F.col("was").isNull() | (F.abs(F.col("rank") - F.col("was")) > TOLERANCE * F.col("rank"))).isEmpty():
+            break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks of hosts did not settle in {LIMIT} rounds")
     return rank
 
 
-def host_verdicts(pages: DataFrame, judged: DataFrame, least: int = 3, share: float = 0.9, damping: float = 0.85, rounds: int = 12, ratio: float = 1.0) -> DataFrame:
+def host_verdicts(pages: DataFrame, judged: DataFrame, least: int = 3, share: float = 0.9, damping: float = 0.85, rounds: int | None = None, ratio: float = 1.0) -> DataFrame:
     """host, trust, distrust, verdict for each host that either reaches.
 
     judged has the host and rule verdict of each page. A host is a trusted (blocked) seed if at least least of its pages

@@ -198,6 +198,28 @@ def test_pagerank(spark):
     assert got == {k: pytest.approx(v) for k, v in brute_pagerank(links, seeds).items()}
 
 
+def test_ranks_settle(spark):
+    links = {(f"h{i}", f"h{i + 1}"): 1 for i in range(16)} | {("h16", "h15"): 1, ("h3", "x"): 2, ("h16", "y"): 3, ("y", "h16"): 1, ("y", "z"): 4, ("h5", "h5b"): 9}
+    df = spark.createDataFrame([(s, d, n) for (s, d), n in links.items()], "src string, dst string, n long")
+    seeds = {"h0": 3.0, "y": 1.0}
+    got = {r.node: r.rank for r in urlfilter.propagate(df, spark.createDataFrame(list(seeds.items()), "node string, seed double"), rounds=None).collect()}
+    assert "h16" in got and got == {k: pytest.approx(v, rel=1e-7, abs=0) for k, v in brute_pagerank(links, seeds, rounds=400).items()}
+
+
+def test_distrust_reaches_far_hosts(spark):
+    far = 15
+    pages = [(i, f"http://bad.com/de/{i}", "") for i in range(3)] + [(100 + i, f"http://h{i}.net/", f"<a href='http://{'bad.com' if i == 1 else f'h{i - 1}.net'}/x'>") for i in range(1, far + 1)]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[100 + i] == "block" for i in range(1, far + 1))
+
+
+def test_ranks_that_do_not_settle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "LIMIT", 3)
+    df = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(6)], "src string, dst string, n long")
+    with pytest.raises(RuntimeError):
+        urlfilter.propagate(df, spark.createDataFrame([("h0", 1.0)], "node string, seed double"), rounds=None)
+
+
 def test_hosts_and_paths(spark):
     r = spark.createDataFrame([("x://A.b/c/d?e#f\ng",)], "u string").select(urlfilter.host(F.col("u")).alias("h"), urlfilter.path(F.col("u")).alias("p")).first()
     assert (r.h, r.p) == ("a.b", "/c/d")
