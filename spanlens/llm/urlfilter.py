@@ -85,7 +85,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return rank
 
 
-def host_verdicts(pages: DataFrame, judged: DataFrame, least: int = 3, share: float = 0.9, damping: float = 0.85, rounds: int | None = None, ratio: float = 1.0) -> DataFrame:
+def host_verdicts(pages: DataFrame, judged: DataFrame, least: int = 1, share: float = 0.9, damping: float = 0.85, rounds: int | None = None, ratio: float = 1.0) -> DataFrame:
     """host, trust, distrust, verdict for each host that either reaches.
 
     judged has the host and rule verdict of each page. A host is a trusted (blocked) seed if at least least of its pages

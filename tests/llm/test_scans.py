@@ -213,6 +213,12 @@ def test_distrust_reaches_far_hosts(spark):
     assert all(got[100 + i] == "block" for i in range(1, far + 1))
 
 
+def test_hosts_of_one_page_are_seeds(spark):
+    pages = [(1, "http://one.com/de/1", ""), (2, "http://one.com/x", ""), (3, "http://to.net/", "<a href='http://one.com/x'>"), (4, "http://two.com/fr/1", "<a href='//fine.net/'>"), (5, "http://fine.net/", "<a href='//one.com'>"), (6, "http://two.com/x", "")]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
+
+
 def test_ranks_that_do_not_settle_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(urlfilter, "LIMIT", 3)
     df = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(6)], "src string, dst string, n long")
