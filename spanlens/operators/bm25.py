@@ -45,18 +45,26 @@ class BM25Index:
         part = F.col("qtf") * F.col("idf") * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), self.k1, self.b)
         return hits.groupBy("query_id", "scope", "doc_id").agg(F.sum(part).alias("score"))
 
-    def rank(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+    def rank(self, queries: DataFrame, k: int | None = None, fill: bool = True) -> DataFrame:
         """query_id, doc_id, score, rank: by score rounded to 9 places, then doc_id.
 
         The full ranking holds every document of the scope, those without a shared term at score 0. With k only the
-        first k are made, and of these only documents with a shared term are looked at unless there are fewer than k.
+        first k are made. Where fewer than k share a term, the least doc_ids of the scope follow at score 0, of which k
+        are looked at; without fill, they don't.
         """
         scored = self.score(queries)
         order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("doc_id"))
         if k is not None:
             if k <= 0:
                 raise ValueError("k must be at least 1")
-            return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+            top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+            if not fill:
+                return top
+            place = F.row_number().over(Window.partitionBy("scope").orderBy("doc_id"))
+            least = self.docs.select("scope", "doc_id", place.alias("place")).where(F.col("place") <= k).drop("place")
+            zeros = queries.select("query_id", "scope").join(least, "scope").select("query_id", "doc_id", F.lit(0.0).alias("score"))
+            filled = top.drop("rank").union(zeros).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+            return filled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         every = queries.select("query_id", "scope").join(self.lengths.select("scope", "doc_id"), "scope")
         full = every.join(scored, ["query_id", "scope", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         return full.withColumn("rank", F.row_number().over(order)).select("query_id", "doc_id", "score", "rank")

@@ -127,11 +127,12 @@ def bm25_full_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_restricted_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    """Statistics and ranking inside each language; every item asks each."""
+    """Statistics and ranking inside each language; every item asks each. Documents without a shared term have no rank, as in
+    the DuckDB twin."""
     docs = _docs(spark, sf, F.col("lang"))
     q = _queries(spark, sf).drop("scope").crossJoin(table(spark, sf, "documents").select(F.col("lang").alias("scope")).distinct())
     q = q.select(F.concat_ws(":", F.col("query_id").cast("string"), "scope").alias("query_id"), "scope", "tokens")
-    return _top(BM25Index(docs).rank(q, k=5))
+    return _top(BM25Index(docs).rank(q, k=5, fill=False))
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -143,6 +143,16 @@ def test_bm25(spark):
         BM25Index(frame(spark, DOCS)).rank(asked(spark, "x"), k=0)
 
 
+def test_bm25_top_is_the_head_of_the_full_ranking(spark):
+    both = frame(spark, DOCS, "one").union(frame(spark, {"e": "x", "f": "q q"}, "two"))
+    rows = [(1, "one", ["w"]), (2, "one", ["nothing"]), (3, "one", []), (4, "two", ["q"]), (5, "one", ["x", "y"]), (6, "two", ["w"])]
+    q = spark.createDataFrame(rows, "query_id int, scope string, tokens array<string>")
+    index = BM25Index(both)
+    full = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in index.rank(q).collect())
+    for k in (1, 2, 3, 9):
+        assert sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in index.rank(q, k=k).collect()) == [r for r in full if r[1] <= k]
+
+
 def test_bm25_scopes_have_their_own_statistics(spark):
     both = frame(spark, DOCS, "one").union(frame(spark, {"e": "x", "f": "q q"}, "two"))
     q = spark.createDataFrame([(1, "two", ["x"])], "query_id int, scope string, tokens array<string>")
