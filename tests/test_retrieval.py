@@ -227,3 +227,12 @@ def test_samples(spark):
     rng = random.Random(13)
     want = [x for s in range(3) for x in sorted(rng.sample([i for i in range(30) if i % 3 == s], 2))]
     assert sorted(r.id for r in sample.seeded_sample(df, "s", "id", 2).collect()) == sorted(want)
+
+
+def test_seeded_sample_orders_texts_by_number(spark):
+    import random
+
+    rng, ids = random.Random(13), {f"text{s}": [f"text{s}_q{i}" for i in range(6)] for s in range(1, 12)}
+    want = [x for s in range(1, 12) for x in rng.sample(ids[f"text{s}"], 2)]
+    df = spark.createDataFrame([(s, x) for s, xs in ids.items() for x in xs], "text_id string, question_id string").repartition(4)
+    assert sorted(r.question_id for r in sample.seeded_sample(df, "text_id", "question_id", 2).collect()) == sorted(want)
