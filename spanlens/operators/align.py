@@ -192,3 +192,18 @@ def align(spans: DataFrame, threshold: float = FUZZY) -> DataFrame:
 
     slow = marked.where("not _easy").select(*names).mapInPandas(run, schema)
     return fast.unionByName(slow)
+
+
+def counts(questions: DataFrame) -> DataFrame:
+    """kind, span, value, n of an alignment report, from a row for each question (text_id, cognitive_type, critical_span,
+    distractor_span, both SPAN): for each of the two spans, questions by status, located and partial ones, of which
+    the latter two are there even if 0; and questions by text and by cognitive type."""
+    spans = questions.select(F.explode(F.array(*[F.struct(F.lit(w).alias("span"), F.col(f"{w}_span.status").alias("status"), F.coalesce(f"{w}_span.partial", F.lit(False)).alias("partial")) for w in ("critical", "distractor")])).alias("s")).select("s.*")
+    status = spans.groupBy("span", "status").agg(F.count("*").alias("n"), F.count_if("partial").alias("n_partial"))
+    located = status.groupBy("span").agg(F.coalesce(F.sum(F.when(~F.col("status").isin("unresolved", "empty"), F.col("n"))), F.lit(0)).alias("located"), F.sum("n_partial").alias("partial"))
+    sums = located.select("span", F.explode(F.create_map(F.lit("located"), "located", F.lit("partial"), "partial")).alias("kind", "n")).select("kind", "span", F.lit(None).cast("string").alias("value"), "n")
+    out = status.select(F.lit("status").alias("kind"), "span", F.col("status").alias("value"), "n").union(sums)
+    for c in ("text_id", "cognitive_type"):
+        by = questions.groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").alias("n"))
+        out = out.union(by.select(F.lit(c).alias("kind"), F.lit(None).cast("string").alias("span"), "value", "n"))
+    return out

@@ -10,6 +10,7 @@ from ..functions.text import (
 )
 from ..operators import align, chunk, dense, fuse, lexgap, metrics
 from ..operators.bm25 import BM25Index
+from ..sources.contracts import COGNITIVE_TYPES
 from ..sources.tables import containing, gold, questions, table, texts
 
 # Chunk windows of the queries on documents.
@@ -94,6 +95,19 @@ def span_locate_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(F.col("question_id").alias("item_id"), "span.*")
 
 
+def alignment_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of an alignment report: critical spans are items with a letter changed in every twelve, distractor spans the items
+    themselves, and cognitive types are dealt by item."""
+    g = gold(spark, sf).join(texts(spark, sf), "text_id")
+    kinds = F.array(*[F.lit(t) for t in COGNITIVE_TYPES])
+    g = g.withColumn("cognitive_type", F.get(kinds, F.pmod(F.col("question_id"), F.lit(len(COGNITIVE_TYPES))).cast("int")))
+    raw = {"critical": F.regexp_replace("question", r"(?s)(.{11}).", "$1x"), "distractor": F.col("question")}
+    none = F.lit(None).cast("string")
+    for which, r in raw.items():
+        g = align.align(g.withColumns({"raw": r, "title": none, "author": none})).withColumnRenamed("span", f"{which}_span")
+    return align.counts(g)
+
+
 def squash_hyphens(spark: SparkSession, sf: str) -> DataFrame:
     return questions(spark, sf).select(F.col("question_id").alias("item_id"), squash(F.col("question")).alias("squashed"), squash(F.col("question"), drop_hyphens=True).alias("joined"))
 
@@ -238,7 +252,7 @@ def lexgap_subword(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     tok_word_counts, tok_char_ngrams, text_normalize_apostrophe, tag_strip_extract_categories, token_counts_per_doc, chunk_overlap_windows, chunk_overlap_coverage, chunk_sentences,
-    chunk_paragraph_groups, chunk_counts, span_locate_exact, span_locate_squashed, span_multiple, span_locate_fuzzy, squash_hyphens, bm25_open_top5, bm25_char_top5, bm25_full_rank,
+    chunk_paragraph_groups, chunk_counts, span_locate_exact, span_locate_squashed, span_multiple, span_locate_fuzzy, alignment_counts, squash_hyphens, bm25_open_top5, bm25_char_top5, bm25_full_rank,
     bm25_restricted_by_lang, dense_cosine_top10, dense_restricted_by_label, rrf_fusion, weighted_minmax_fusion, evidence_recall_mrr, evidence_cov50, source_recall_mrr, distractor_rate,
     context_tokens_stats, jaccard_word, jaccard_char3, lexgap_exact_share, lexgap_subword,
 )}

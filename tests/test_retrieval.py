@@ -236,3 +236,26 @@ def test_seeded_sample_orders_texts_by_number(spark):
     want = [x for s in range(1, 12) for x in rng.sample(ids[f"text{s}"], 2)]
     df = spark.createDataFrame([(s, x) for s, xs in ids.items() for x in xs], "text_id string, question_id string").repartition(4)
     assert sorted(r.question_id for r in sample.seeded_sample(df, "text_id", "question_id", 2).collect()) == sorted(want)
+
+
+def test_alignment_counts(spark):
+    S = f"struct<{align.SPAN.replace(' ', ':').replace(',:', ',')}>"
+    span = lambda status, partial=False: (None, None, status, False, None, None, partial)
+    rows = [("text1", "Retrieve", span("exact"), span("fuzzy", True)), ("text1", "Interpret", span("fuzzy", True), span("empty")), ("text2", "Retrieve", span("fuzzy"), span("unresolved"))]
+    got = {(r.kind, r.span, r.value): r.n for r in align.counts(spark.createDataFrame(rows, f"text_id string, cognitive_type string, critical_span {S}, distractor_span {S}")).collect()}
+    assert got == {
+        ("status", "critical", "exact"): 1, ("status", "critical", "fuzzy"): 2, ("status", "distractor", "fuzzy"): 1, ("status", "distractor", "empty"): 1, ("status", "distractor", "unresolved"): 1,
+        ("located", "critical", None): 3, ("located", "distractor", None): 1, ("partial", "critical", None): 1, ("partial", "distractor", None): 1,
+        ("text_id", None, "text1"): 2, ("text_id", None, "text2"): 1, ("cognitive_type", None, "Retrieve"): 2, ("cognitive_type", None, "Interpret"): 1,
+    }
+
+
+def test_alignment_counts_query(spark, tmp_path):
+    from spanlens.plans.retrieval import QUERIES
+
+    body = "Den éischte Saz steet hei. Den zweeten Saz ass och do, an en ass méi laang."
+    spark.createDataFrame([(1, body, "lb", "s", len(body))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, "Den zweeten Saz ass och do"), (5, "Saz")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.kind, r.span, r.value): r.n for r in QUERIES["alignment_counts"](spark, str(tmp_path)).collect()}
+    assert got["status", "distractor", "exact"] == got["status", "distractor", "multiple"] == 1 and got["text_id", None, "1"] == 2
+    assert sum(n for (kind, span, _), n in got.items() if (kind, span) == ("status", "critical")) == 2
