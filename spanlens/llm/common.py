@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -45,19 +46,43 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/spanlens-{uuid.uuid4().hex}"
 
 
+#: Folders of tables written by this process that are still there, by path.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def materialise(df: DataFrame, at: str | None = None) -> DataFrame:
-    """df as a table written to the shared folder: it is computed once, and survives lost executors."""
-    spark = df.sparkSession
+    """df as a table written to the shared folder: it is computed once, and survives lost executors.
+
+    discard() deletes it; what is left is deleted when the process ends. With at, the table is the caller's.
+    """
+    spark, own = df.sparkSession, at is None
     at = at or shared_dir(spark)
+    if own:
+        _WRITTEN[at] = spark
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_to = at
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of materialise(), once nothing that is still to be computed reads them."""
+    for t in tables:
+        if spark := _WRITTEN.pop(getattr(t, "written_to", ""), None):
+            _delete(spark, t.written_to)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs whose results are written and whose plans are gone. It does so when the
-    driver collects its garbage, which otherwise may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    while _WRITTEN:
+        at, spark = _WRITTEN.popitem()
+        with contextlib.suppress(Exception):  # the session may be over
+            _delete(spark, at)
 
 
 #: A table of ids, keys or hashes of up to so many rows, counted first, is broadcast; a larger one is joined by shuffle.
@@ -66,7 +91,11 @@ SMALL_ROWS = 500_000
 
 def small(df: DataFrame) -> DataFrame:
     """df, a written table of few and short columns, to be broadcast if its rows are few enough."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    if df.count() > SMALL_ROWS:
+        return df
+    out = F.broadcast(df)
+    out.written_to = getattr(df, "written_to", "")
+    return out
 
 
 def filesystem(uri: str):
@@ -146,12 +175,6 @@ def lower_bytes() -> np.ndarray:
     return out
 
 
-def not_white() -> np.ndarray:
-    out = np.ones(256, np.int8)
-    out[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
-    return out
-
-
 def joined(texts_: list[bytes], gap: bytes = b"\n") -> tuple[np.ndarray, np.ndarray]:
     """The texts one after another, each followed by gap, as bytes; and where each starts, with the end last."""
     starts = np.zeros(len(texts_) + 1, np.int64)
@@ -160,10 +183,10 @@ def joined(texts_: list[bytes], gap: bytes = b"\n") -> tuple[np.ndarray, np.ndar
 
 
 def rows_of(batches: Iterator, text: int = 1) -> Iterator[tuple]:
-    """The rows of Arrow batches, with the column text as bytes; a few hundred become Python objects at once."""
+    """The rows of Arrow batches, with the column text as bytes; some become Python objects at once."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 500):
-            part = batch.slice(i, 500)
+        for i in range(0, batch.num_rows, 100):
+            part = batch.slice(i, 100)
             yield from zip(*[(c.cast("binary") if j == text else c).to_pylist() for j, c in enumerate(part.columns)], strict=True)
 
 

@@ -1,29 +1,51 @@
-"""Sets of word shingles of texts, and circulant MinHash signatures of them, in numpy."""
+"""Sets of word shingles of texts, circulant MinHash signatures of them, and exact comparison of sets."""
 
 from __future__ import annotations
 
 from functools import lru_cache
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
+import xxhash
 
-from .common import joined, lower_bytes, mix, not_white, prefix_hashes, span_hashes, word_spans
+from .common import mix
 
 WORDS = 5
-_LOWER, _WORD = lower_bytes(), not_white()
 _FACTORS = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _BLOCK = 4096
+_HELD = 16 << 20
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """The sorted distinct 64-bit hashes of each text's 5-word shingles; a text of fewer words, but not none, has one
-    for all its words. A-Z count as a-z; words are runs of anything but ASCII white space."""
-    data, starts = joined(texts)
-    data = _LOWER[data]
-    first, last = word_spans(data, _WORD)
-    h = mix(span_hashes(prefix_hashes(data), first, last))
-    bounds = np.searchsorted(first, starts)
-    n = len(h) - WORDS + 1
-    rolled = np.zeros(max(n, 0), np.uint64)
+def words_of(text: bytes) -> list[bytes]:
+    """Runs of anything but ASCII white space, with A-Z made a-z."""
+    return text.lower().split()
+
+
+class Hashes(dict):
+    """64-bit hashes of words met before; the table is emptied when it holds many bytes."""
+
+    held = 0
+
+    def __missing__(self, word: bytes) -> int:
+        if self.held > _HELD:
+            self.clear()
+            self.held = 0
+        self.held += len(word) + 100
+        h = self[word] = xxhash.xxh3_64_intdigest(word, 0x5EED)
+        return h
+
+
+_HASHES = Hashes()
+
+
+def shingle_sets(docs: list[list[bytes]]) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of the 5-word shingles of each list of words; one of fewer words, but not
+    none, has one for all its words."""
+    sizes = np.array([len(w) for w in docs], np.int64)
+    h = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(docs)), np.uint64, int(sizes.sum()))
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    rolled = np.zeros(max(len(h) - WORDS + 1, 0), np.uint64)
     for j in range(WORDS):
         rolled += h[j : j + len(rolled)] * _FACTORS[j]
     rolled = mix(rolled)
@@ -38,6 +60,39 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+class Numbered:
+    """Shingles as numbers that stand for their words themselves: equal numbers are equal words, without hashing.
+
+    Words, pairs of words, pairs of pairs, and these with a fifth word are numbered as they are met. A set stays
+    comparable with the others of the same object.
+    """
+
+    def __init__(self) -> None:
+        self.words: dict[object, int] = {}
+        self.tables: list[dict[int, int]] = [{}, {}, {}]
+
+    def __len__(self) -> int:
+        return len(self.words) + sum(map(len, self.tables))
+
+    def _number(self, level: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        table = self.tables[level]
+        keys, back = np.unique((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64), return_inverse=True)
+        got = np.fromiter((table.setdefault(k, len(table)) for k in keys.tolist()), np.int64, len(keys))
+        return got[back]
+
+    def set_of(self, words: list[bytes]) -> np.ndarray:
+        """The sorted distinct numbers of the shingles of a list of words."""
+        if not words:
+            return np.zeros(0, np.int64)
+        if len(words) < WORDS:  # below zero, so that it meets no whole shingle
+            key = (len(words), *words)
+            return np.array([-1 - self.words.setdefault(key, len(self.words))], np.int64)
+        w = np.fromiter((self.words.setdefault(x, len(self.words)) for x in words), np.int64, len(words))
+        two = self._number(0, w[:-1], w[1:])
+        four = self._number(1, two[:-2], two[2:])
+        return np.unique(self._number(2, four[:-1], w[4:]))
+
+
 class Circulant:
     """Signatures of k coordinates from two permutations.
 
@@ -75,10 +130,9 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a set, which don't depend on the order."""
-    a, b = mix(shingles + np.uint64(11)), mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    return int(a.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(b).view(np.int64)) if len(b) else 0
+def copy_digest(words: list[bytes]) -> bytes:
+    """16 bytes of a cryptographic hash of a list of words: equal ones are taken for equal lists."""
+    return blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

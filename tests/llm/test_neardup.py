@@ -7,7 +7,7 @@ import pytest
 
 from spanlens.llm import common, neardup, toxicity
 from spanlens.llm.components import components
-from spanlens.llm.shingles import circulant, shingle_sets
+from spanlens.llm.shingles import Numbered, circulant, linked, shingle_sets, words_of
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -60,11 +60,14 @@ def run(spark, table, **how):
 
 def test_matches_brute_force(spark):
     rows = corpus()
-    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows) == brute(rows, 80)
+    assert run(spark, rows, percent=85, bands=25) == brute(rows, 85)
 
 
 def test_blocks_and_low_thresholds(spark, monkeypatch):
     monkeypatch.setattr(neardup, "_BLOCK", 3)
+    monkeypatch.setattr(neardup, "_STAR", 2)
+    monkeypatch.setattr(neardup, "_NUMBERED", 50)
     monkeypatch.setattr(common, "SMALL_ROWS", 0)
     rows = corpus(5)
     assert run(spark, rows, percent=70, rows=3, bands=40) == brute(rows, 70)
@@ -94,7 +97,53 @@ def test_circulant_estimates_jaccard():
 
 def test_shingle_sets_count_distinct_sequences():
     texts = ["a b c d e a b c d e a", "", "x", "É é", "one two three four", "q " * 50]
-    assert [len(s) for s in shingle_sets([t.encode() for t in texts])] == [len(shingles(t)) for t in texts]
+    words = [words_of(t.encode()) for t in texts]
+    assert [len(s) for s in shingle_sets(words)] == [len(shingles(t)) for t in texts]
+    numbered = Numbered()
+    assert [len(numbered.set_of(w)) for w in words] == [len(shingles(t)) for t in texts]
+
+
+def test_numbered_sets_meet_as_sets_of_words_do():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    numbered = Numbered()
+    own = [numbered.set_of(words_of(t.encode())) for t in texts]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            x, y = shingles(a), shingles(b)
+            assert linked(own[i], own[j], 70) == (bool(x and y) and 100 * len(x & y) >= 70 * len(x | y))
+
+
+def test_words_with_equal_polynomial_hashes_stay_apart(spark):
+    word = "a"
+    for _ in range(11):  # the sequence of 2,048 letters on which polynomial hashes modulo 2 ** 64 fail
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())]
+    assert run(spark, rows) == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False)]
+
+
+def test_sets_are_confirmed_where_all_hashes_are_equal(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_set_hashes", lambda s: (1, 1))
+    rows = [(1, "a b c d e f"), (2, "u v w x y z"), (3, "A b  c d e f"), (4, "q q q q q q"), (5, "q q q q q q q"), (6, "r r r r r r")]
+    local = spark.createDataFrame(rows, "doc_id long, text string")
+    equal = neardup.verified(spark.createDataFrame([(1, 2), (4, 5), (4, 6), (1, 3)], "u long, v long"), local, 100)
+    assert sorted(map(tuple, equal.collect())) == [(1, 3), (4, 5)]
+
+
+def test_exact_candidates(spark):
+    rows = corpus(9)
+    assert run(spark, rows, exact=True) == brute(rows, 80)
+    assert run(spark, rows, percent=60, exact=True) == brute(rows, 60)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i % 7919}x{i % 104729}" for i in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, "w " * 300_000), (4, "y" * 2_000_000), (5, None)]
+    names = ("u", "v", "block", "role", "key", "n", "label", "sig", "copy", "gone_id", "node", "component")
+    df = spark.createDataFrame([(d, t, *[f"{c}{d}" for c in names]) for d, t in rows], f"doc_id long, text string, {', '.join(c + ' string' for c in names)}")
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.role, r.component) for r in kept.collect()) == [(d, f"role{d}", f"component{d}") for d in (1, 3, 4, 5)]
 
 
 def test_components_of_a_path_and_a_star(spark):
