@@ -149,6 +149,56 @@ def quote(c: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
+def fold(items: Column, state: dict[str, Column], kind: str, step: Callable[[Column, Column], tuple[dict[str, Column], Column]], block: int = 128) -> Column:
+    """struct of the last state, and out (array<kind>): step takes the state and an item, and gives the next state and an
+    array that out goes on with.
+
+    Output is gathered block by block: n items cost about n * block / 2 copied elements where one array that grows to the
+    end costs n * n / 2.
+    """
+
+    def pack(of: Column, out: Column) -> Column:
+        return F.struct(*[of[n].alias(n) for n in state], out.alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        new, more = step(acc, x)
+        return F.struct(*[new[n].alias(n) for n in state], F.concat(acc["out"], more).alias("out"))
+
+    def of_block(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, pack(acc, F.array().cast(f"array<{kind}>")), one)
+        return let(inner, lambda r: pack(r, F.concat(acc["out"], F.array(r["out"]))))
+
+    def of(every: Column) -> Column:
+        count = F.ceil(F.size(every) / block).cast("int")
+        places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        blocks = F.transform(places, lambda i: F.slice(every, i * block + 1, F.lit(block)))
+        start = F.struct(*[c.alias(n) for n, c in state.items()], F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.aggregate(blocks, start, of_block, lambda acc: pack(acc, F.flatten(acc["out"])))
+
+    return let(items, of)
+
+
+def running(lengths: Column) -> Column:
+    """Before each of an array of lengths, the sum of those ahead of it."""
+    return fold(lengths, {"at": F.lit(0)}, "int", lambda acc, n: ({"at": acc["at"] + n}, F.array(acc["at"])))["out"]
+
+
+def pieces_between(text: Column, starts: Column, ends: Column, block: int = 4096) -> Column:
+    """text[start:end] for each two of the arrays starts and ends; null if either is. The text is cut into blocks once,
+    so that a piece far in costs no walk from the text's beginning."""
+
+    def of(x: Column) -> Column:
+        def one(a: Column, b: Column) -> Column:
+            first = F.floor(a / block).cast("int")
+            n = F.greatest(F.floor((b - 1) / block).cast("int") - first + 1, F.lit(0))
+            return F.substring(F.array_join(F.slice(x["blocks"], first + 1, n), ""), a - first * block + 1, F.greatest(b - a, F.lit(0)))
+
+        return F.zip_with(x["starts"], x["ends"], one)
+
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{block}}}"), F.lit(0))
+    return F.when(starts.isNotNull() & ends.isNotNull(), let(F.struct(cut.alias("blocks"), starts.alias("starts"), ends.alias("ends")), of))
+
+
 def find_all(needle: Column, hay: Column) -> Column:
     """0-based places of needle in hay, overlapping ones too; none for an empty needle.
 
@@ -156,14 +206,10 @@ def find_all(needle: Column, hay: Column) -> Column:
     the pieces are the distances between them.
     """
     none = F.array().cast("array<int>")
-    empty = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
 
     def of(x: Column) -> Column:
-        starts = F.aggregate(F.split(x["hay"], F.concat(F.lit("(?="), quote(x["needle"]), F.lit(")")), -1), empty, step, lambda acc: acc["out"])
-        found = F.filter(starts, lambda at: (at > 0) | F.startswith(x["hay"], x["needle"]))
+        pieces = F.transform(F.split(x["hay"], F.concat(F.lit("(?="), quote(x["needle"]), F.lit(")")), -1), lambda p: F.length(p))
+        found = F.filter(running(pieces), lambda at: (at > 0) | F.startswith(x["hay"], x["needle"]))
         return F.when(F.contains(x["hay"], x["needle"]) & (F.length(x["needle"]) > 0), found)
 
     return F.coalesce(let(F.struct(needle.alias("needle"), hay.alias("hay")), of), none)
