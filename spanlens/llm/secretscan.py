@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise, texts
+from ..functions.text import fold, let, pieces_between, running
+from .common import discard, lower_ascii, materialise, small, texts
 
 try:
     from re import _constants as sre
@@ -166,21 +167,23 @@ def spans(text: Column, rule: Rule) -> Column:
     """array of struct(start, end) of the rule's matches, in code points: gaps between matches and matches alternate, so
     their summed lengths are the offsets."""
     p = F.lit(rule.pattern)
-    pairs = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(rule.group)).alias("part"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.struct(start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= rule.least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+    def length(x: Column) -> Column:
+        return F.length(x)
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    def of(m: Column) -> Column:
+        both = F.zip_with(m["gaps"], m["hits"], lambda gap, hit: gap + F.coalesce(hit, F.lit(0)))
+        ends = F.zip_with(running(both), both, lambda at, n: at + n)
+        found = F.transform(F.arrays_zip(ends.alias("end"), m["hits"].alias("hit"), m["parts"].alias("part")), lambda x: F.struct((x["end"] - x["hit"]).alias("start"), x["end"].alias("end"), x["part"].alias("part")))
+        return F.transform(F.filter(found, lambda x: x["part"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
+    lengths = F.struct(F.transform(F.split(text, rule.pattern, -1), length).alias("gaps"), F.transform(F.regexp_extract_all(text, p, F.lit(0)), length).alias("hits"), F.transform(F.regexp_extract_all(text, p, F.lit(rule.group)), length).alias("parts"))
+    return F.get(F.transform(F.array(lengths), of), F.lit(0))
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each row of docs (doc_id, text): doc_id, text (null: empty), the columns named by keep, and found, an
-    array of struct(start, rank, kind, end) sorted by start, then by the order of the rules."""
+
+def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """of_id, of_tie (a hash of the text) and rule_i for each rule with a mandatory trigram: the documents, by the index,
+    that at least one of these rules may match in. A written table."""
     queries = [trigram_query(r.pattern) for r in rules]
     needed = sorted(set().union(*[grams(q) for q in queries]))
     if len(needed) > 62:
@@ -190,8 +193,20 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...]
     mask = index.groupBy("doc_id", "tie").agg(F.bit_or(F.expr("shiftleft(1L, gram)")).alias("mask"))
     wanted = [i for i, q in enumerate(queries) if q is not True]
     flags = mask.select(F.col("doc_id").alias("of_id"), F.col("tie").alias("of_tie"), *[holds(queries[i], F.col("mask"), bit).alias(f"rule_{i}") for i in wanted])
-    flags = flags.where(reduce(lambda a, b: a | b, [F.col(f"rule_{i}") for i in wanted])) if wanted else flags.limit(0)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep).withColumn("tie", F.xxhash64("text"))
+    flags = materialise(flags.where(reduce(lambda a, b: a | b, [F.col(f"rule_{i}") for i in wanted])) if wanted else flags.limit(0))
+    discard(index)
+    return flags
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each row of docs (doc_id, text): doc_id, text (null: empty), own, a struct of the columns named by keep
+    (null for none), and found, an array of struct(start, rank, kind, end) sorted by start, then by the order of the rules.
+
+    Candidates are broadcast if they are few, so that texts stay where they are; else both sides are shuffled.
+    """
+    flags = small(candidates(docs, rules))
+    own = F.struct(*[docs[c] for c in keep]) if keep else F.lit(None)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), own.alias("own")).withColumn("tie", F.xxhash64("text"))
     rows = rows.join(flags, rows["doc_id"].eqNullSafe(flags["of_id"]) & (rows["tie"] == flags["of_tie"]), "left")
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     each = []
@@ -201,14 +216,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...]
 
     for i, rule in enumerate(rules):
         got = F.transform(spans(F.col("text"), rule), named(i, rule.kind))
-        candidate = F.col(f"rule_{i}") if i in wanted else F.lit(True)
+        candidate = F.col(f"rule_{i}") if f"rule_{i}" in flags.columns else F.lit(True)
         each.append(F.when(candidate & F.rlike("text", F.lit(rule.pattern)), got).otherwise(empty).alias(f"found_{i}"))
-    rows = rows.select("doc_id", "text", *[k for k in keep if k not in ("doc_id", "text")], *each)
-    return rows.select("doc_id", "text", *[k for k in keep if k not in ("doc_id", "text")], F.sort_array(F.concat(*[F.col(f"found_{i}") for i in range(len(rules))])).alias("found"))
+    rows = rows.select("doc_id", "text", "own", *each)
+    return rows.select("doc_id", "text", "own", F.sort_array(F.concat(*[F.col(f"found_{i}") for i in range(len(rules))])).alias("found"))
 
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256 (of their spans as kind:start:end, comma-joined) and all spans."""
+    """A row for each row of docs (doc_id, text), repeated ones too: doc_id, counts of the base kinds, base_sha256 (of
+    their spans as kind:start:end, comma-joined) and all spans. Null and empty texts have none; other columns are not read."""
 
     def listed(c: Column) -> Column:
         return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -223,19 +239,24 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """The rows of docs, with their columns, in which each maximal stretch of found spans is replaced by mark, and
-    n_chars, if there, counts the new text. A text without a span stays as it is; null becomes empty."""
+    n_chars, if there, counts the new text. A text without a span stays as it is; null becomes empty. Repeated rows stay
+    repeated, and columns of any other name pass through."""
     names = docs.columns
-    other = tuple(c for c in names if c not in ("doc_id", "text"))
-    rows = scan(docs, rules, other)
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    new = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    rows = rows.withColumn("text", F.when(F.size("found") > 0, new).otherwise(F.col("text")))
+    rows = scan(docs, rules, tuple(names))
+
+    def merge(acc: Column, s: Column) -> tuple[dict[str, Column], Column]:
+        fresh = s["start"] >= acc["end"]
+        done = F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))
+        out = F.when(fresh & (acc["end"] > 0), done).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+        return {"start": F.when(fresh, s["start"]).otherwise(acc["start"]), "end": F.greatest(acc["end"], s["end"])}, out
+
+    folded = fold(F.col("found"), {"start": F.lit(0), "end": F.lit(0)}, "struct<start:int,end:int>", merge)
+    runs = let(folded, lambda r: F.concat(r["out"], F.array(F.struct(r["start"].alias("start"), r["end"].alias("end")))))
+    starts = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["end"]))
+    ends = F.concat(F.transform("runs", lambda r: r["start"]), F.array(F.length("text")))
+    rows = rows.withColumn("runs", F.when(F.size("found") > 0, runs))
+    rows = rows.withColumn("new", F.coalesce(F.array_join(pieces_between(F.col("text"), starts, ends), mark), F.col("text")))
+    out = {c: F.col(f"own.`{c}`") for c in names} | {"text": F.col("new")}
     if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+        out["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[out[c].alias(c) for c in names])
