@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise
+from .common import discard, lower_ascii, materialise
 
 SMALL_ROWS = 200_000
 TOLERANCE, LIMIT = 1e-9, 1000
@@ -26,7 +26,8 @@ class Rule:
 
 RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
 
-_LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^"'/?#\s<>]+)"""
+#: A link's host, or nothing for one inside its host; other schemes are no links.
+_LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:(?:https?:)?//([^"'/?#\s<>]+)|(?![a-z][a-z0-9+.-]*:|//)[^"'\s<>])"""
 
 
 def host(url: Column) -> Column:
@@ -49,9 +50,15 @@ def rule_of(h: Column, p: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def edges(pages: DataFrame) -> DataFrame:
-    """src, dst, n: links between different hosts of pages (url, html)."""
+    """src, dst, n: links of pages (url, html) between hosts. A link without a host leads to the page's own; and a host
+    and the domain that it is a part of (down to two labels) are tied both ways once, as one is run by the other."""
     links = pages.select(host(F.col("url")).alias("src"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), F.lit(1))).alias("to"))
-    return links.select("src", lower_ascii(F.col("to")).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    links = links.select("src", F.when(F.col("to") == "", F.col("src")).otherwise(lower_ascii(F.col("to"))).alias("dst")).where("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    hosts = pages.select(host(F.col("url")).alias("h")).distinct().where("h <> ''").withColumn("l", F.split("h", r"\."))
+    depth = F.explode(F.sequence(F.lit(0), F.size("l") - 3)).alias("i")
+    up = hosts.where(F.size("l") >= 3).select("l", depth).select(*[F.array_join(F.slice("l", F.col("i") + d, F.size("l")), ".").alias(c) for c, d in (("src", 1), ("dst", 2))]).where("src <> '' and dst <> ''").distinct()
+    both = up.union(up.select("dst", "src")).withColumn("n", F.lit(1).cast("long"))
+    return links.unionByName(both).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = 12) -> DataFrame:
@@ -71,11 +78,13 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     rank = start.select("node", F.col("seed").alias("rank"))
     if share.isEmpty():
         return rank.select("node", (F.col("rank") * (1 - damping)).alias("rank"))
+    after = None
     for _ in range(LIMIT if rounds is None else rounds):
         passed = rank.join(share, rank["node"] == share["src"]).select(F.col("dst").alias("node"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         dealt = passed.union(start.select("node", (F.col("seed") * (1 - damping)).alias("rank"))).withColumn("was", F.lit(None).cast("double"))
         held = rank.select("node", F.lit(None).cast("double").alias("rank"), F.col("rank").alias("was"))
-        after = materialise(dealt.union(held).groupBy("node").agg(F.sum("rank").alias("rank"), F.max("was").alias("was")))
+        before, after = after, materialise(dealt.union(held).groupBy("node").agg(F.sum("rank").alias("rank"), F.max("was").alias("was")))
+        discard(before)
         rank = after.select("node", "rank")
         if rounds is None and after.where(F.col("was").isNull() | (F.abs(F.col("rank") - F.col("was")) > TOLERANCE * F.col("rank"))).isEmpty():
             break
@@ -85,34 +94,37 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return rank
 
 
-def host_verdicts(pages: DataFrame, judged: DataFrame, least: int = 1, share: float = 0.9, damping: float = 0.85, rounds: int | None = None, ratio: float = 1.0) -> DataFrame:
-    """host, trust, distrust, verdict for each host that either reaches.
+def host_verdicts(pages: DataFrame, judged: DataFrame, damping: float = 0.85, rounds: int | None = None, ratio: float = 1.0) -> DataFrame:
+    """host, trust, distrust, verdict for each host that either reaches. A written table.
 
-    judged has the host and rule verdict of each page. A host is a trusted (blocked) seed if at least least of its pages
-    have a verdict and at least share of these are allow (block), with the number of these as its weight. Trust follows links;
-    distrust goes against them, to hosts that link to what is blocked. A host is blocked if its distrust exceeds ratio times
-    its trust.
+    judged has the host and rule verdict of each page. A host is a trusted seed with as much weight as it has pages that a
+    rule allows, and a blocked one with as much as a rule blocks; it may be both. Trust follows links; distrust goes
+    against them, to hosts that link to what is blocked. A host is blocked if its distrust exceeds ratio times its trust.
     """
     counts = judged.where("verdict is not null and host <> ''").groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad"))
-    counts = materialise(counts.where(F.col("good") + F.col("bad") >= least))
-    good = counts.where(F.col("good") >= share * (F.col("good") + F.col("bad"))).select(F.col("host").alias("node"), F.col("good").cast("double").alias("seed"))
-    bad = counts.where(F.col("bad") >= share * (F.col("good") + F.col("bad"))).select(F.col("host").alias("node"), F.col("bad").cast("double").alias("seed"))
+    counts = materialise(counts)
+    good, bad = (counts.where(F.col(c) > 0).select(F.col("host").alias("node"), F.col(c).cast("double").alias("seed")) for c in ("good", "bad"))
     links = materialise(edges(pages))
-    trust = propagate(links, good, damping, rounds).select(F.col("node").alias("host"), F.col("rank").alias("trust"))
-    distrust = propagate(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), bad, damping, rounds).select(F.col("node").alias("host"), F.col("rank").alias("distrust"))
+    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("good", "bad")]).first()
+    # ranks sum to 1 each; times their seeds' weight, one allowed page and one blocked page weigh the same
+    trust = propagate(links, good, damping, rounds).select(F.col("node").alias("host"), (F.col("rank") * total["good"]).alias("trust"))
+    distrust = propagate(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), bad, damping, rounds).select(F.col("node").alias("host"), (F.col("rank") * total["bad"]).alias("distrust"))
     both = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    return both.withColumn("verdict", F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow"))
+    out = materialise(both.withColumn("verdict", F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")))
+    discard(counts, links)
+    return out
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, **how: float) -> DataFrame:
-    """page_id, host, path, rule (the longest that fits, else null), verdict (the rule's, else the host's; allow for
-    hosts that neither trust nor distrust reaches, and for null or malformed urls) for each row of pages (page_id, url, html)."""
+    """A row for each row of pages (page_id, url, html), repeated ones too: page_id, host, path, rule (the longest that
+    fits, else null), verdict (the rule's, else the host's by its ranks; allow for hosts that neither trust nor distrust
+    reaches, and for null or malformed urls). A null html has no links. Other columns are not read."""
     h, p = host(F.col("url")), path(F.col("url"))
     rows = pages.select("page_id", h.alias("host"), p.alias("path"))
     rows = rows.withColumn("i", rule_of(F.col("host"), F.col("path"), rules))
     names, verdicts = (F.array(*[F.lit(x) for x in xs]) for xs in ([r.text for r in rules], [r.verdict for r in rules]))
     rows = rows.select("page_id", "host", "path", F.get(names, F.col("i")).alias("rule"), F.get(verdicts, F.col("i")).alias("verdict"))
-    known = materialise(host_verdicts(pages, rows.select("host", "verdict"), **how).where("verdict = 'block'").select(F.col("host").alias("of_host"), F.col("verdict").alias("by_host")))
+    known = host_verdicts(pages, rows.select("host", "verdict"), **how).where("verdict = 'block'").select(F.col("host").alias("of_host"), F.col("verdict").alias("by_host"))
     known = F.broadcast(known) if known.count() <= SMALL_ROWS else known
     out = rows.join(known, rows["host"] == known["of_host"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "by_host", F.lit("allow")).alias("verdict"))

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +127,50 @@ def test_redaction(spark):
     assert got == {1: ("é [SECRET] ok", 13), 2: ("clean", 5), 3: ("", 0), 4: ("x[SECRET]", 9), 5: ("[SECRET] z", 10)}
 
 
+def test_columns_of_internal_names_pass_through_redaction(spark):
+    names = ("tie", "found", "of_id", "of_tie", "rule_0", "found_0", "own", "runs", "new", "gram", "mask")
+    rows = [(1, "x token=abcdef12"), (2, "clean"), (None, "secret: abcdefgh"), (1, "x token=abcdef12")]
+    df = spark.createDataFrame([(d, t, *[f"{c}{i}" for c in names]) for i, (d, t) in enumerate(rows)], f"doc_id long, text string, {', '.join(c + ' string' for c in names)}")
+    got = secretscan.redact(df)
+    assert got.columns == df.columns
+    want = ["x [SECRET]", "clean", "[SECRET]", "x [SECRET]"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(d, want[i], *[f"{c}{i}" for c in names]) for i, (d, _) in enumerate(rows)], key=str)
+
+
+def test_candidates_by_shuffle(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "doc_id long, text string")
+    few = sorted(map(tuple, secretscan.report(df).collect()))
+    monkeypatch.setattr("spanlens.llm.common.SMALL_ROWS", -1)
+    assert sorted(map(tuple, secretscan.report(df).collect())) == few
+
+
+def test_long_texts(spark):
+    """Each scan reads texts of some MB in time that grows with their length."""
+    rows = [(1, "token=abcdef12 x\n" * 20_000), (2, " ".join(f"w{i}" for i in range(100_000)) + " " + ITEM), (3, "z" * 1_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.perf_counter()
+    red = {r.doc_id: r.text for r in secretscan.redact(df).collect()}
+    assert red[1] == "[SECRET] x\n" * 20_000 and red[2] == rows[1][1]
+    hit = {r.doc_id: (r.n_words, r.n_hit) for r in decontam.report(df, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()}
+    assert hit == {1: (60_000, 0), 2: (100_013, 13), 3: (1, 0)}
+    judged = {r.doc_id: (r.n_words, r.kept) for r in quality.judge(df).collect()}
+    assert judged == {1: (40_000, False), 2: (100_013, True), 3: (1, False)}
+    assert time.perf_counter() - began < 240
+
+
+def test_no_list_of_words_is_shuffled(spark, monkeypatch):
+    """Beyond the broadcast bound, rows that are shuffled hold no text and no list of a text's words."""
+    monkeypatch.setattr(decontam, "SMALL_ROWS", -1)
+    docs = spark.createDataFrame([(1, "a b " * 50 + ITEM)], "doc_id long, text string")
+    index = decontam.Index(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    for df in (index.docs.select("doc_id", "tie", F.posexplode("w").alias("pos", "term")).join(index.plans.select(F.col("term1").alias("term")), "term"), index._lists()[0]):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan
+        for line in plan.splitlines():
+            if "Exchange hashpartitioning" in line:
+                assert "w#" not in line and "text#" not in line
+
+
 def test_trigram_queries():
     q = secretscan.trigram_query
     assert q("[0-9a-f]+") is True and q("a.c") is True
@@ -175,6 +221,58 @@ def test_distrust_flows_against_links(spark):
     assert (got[20], got[21], got[22], got[23]) == ("block", "allow", "block", "block")
 
 
+def brute_verdicts(pages, damping=0.85, rounds=600):
+    """The verdict of each page by rules, and else by ranks over a link graph in plain Python."""
+
+    def parts(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        h = re.match("[^/?#]*", rest)[0]
+        return h.translate(LOW), re.match("[^?#]*", rest[len(h) :])[0]
+
+    links, good, bad, rules = {}, {}, {}, {}
+    for i, u, html in pages:
+        h, p = parts(u)
+        rules[i] = r = brute_rule(h, p)
+        if h and r:
+            side = good if r.verdict == "allow" else bad
+            side[h] = side.get(h, 0) + 1
+        for m in re.findall(r"""href=["']([^"']+)""", html or ""):
+            to = m.split("//", 1)[1].split("/")[0].translate(LOW) if "//" in m else h if not re.match("[a-z]+:", m) else ""
+            if h and to:
+                links[h, to] = links.get((h, to), 0) + 1
+    ties = set()
+    for h in {parts(u)[0] for _, u, _ in pages}:
+        while h.count(".") >= 2:
+            up = h.split(".", 1)[1]
+            ties |= {(h, up), (up, h)}
+            h = up
+    for x in ties:
+        links[x] = links.get(x, 0) + 1
+    trust = brute_pagerank(links, good, damping, rounds) if good else {}
+    distrust = brute_pagerank({(d, s): n for (s, d), n in links.items()}, bad, damping, rounds) if bad else {}
+    out = {}
+    for i, u, _ in pages:
+        h = parts(u)[0]
+        worse = distrust.get(h, 0) * sum(bad.values()) > trust.get(h, 0) * sum(good.values()) + 1e-12
+        out[i] = rules[i].verdict if rules[i] else "block" if worse else "allow"
+    return out
+
+
+def test_verdicts_of_rules_and_ranks_match_brute_force(spark):
+    rng = random.Random(12)
+    hosts = ["a.x.com", "b.x.com", "x.com", "y.com", "blog.y.com", "z.net", "www.z.net", "far.edu", "q.info", "m.q.info"]
+    pages = []
+    for i in range(150):
+        h = rng.choice(hosts)
+        to = [rng.choice(["/in", "http://" + rng.choice(hosts) + "/p", "//" + rng.choice(hosts), "mailto:x"]) for _ in range(rng.randint(0, 3))]
+        lang = "/de/" if h in ("a.x.com", "y.com") else rng.choice(["/fr/", "/de/", "/en/"])
+        pages.append((i, f"https://{h}{lang}{i}", "".join(f'<a href="{t}">' for t in to)))
+    want = brute_verdicts(pages)
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {i: r.verdict for i, r in got.items()} == want
+    assert {"allow", "block"} == {r.verdict for r in got.values() if r.rule is None}
+
+
 def brute_pagerank(links, seeds, damping=0.85, rounds=12):
     total = sum(seeds.values())
     start = {k: v / total for k, v in seeds.items()}
