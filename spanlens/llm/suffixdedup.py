@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,26 +21,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import _INVERSE, by_bytes, materialise, mix, powers, prefix_hashes, release, rows_of, span_hashes, text_bytes, texts
+from .common import _INVERSE, by_bytes, materialise, mix, powers, prefix_hashes, rows_of, span_hashes, text_bytes, texts
 from .suffixsort import Suffixes
 
 LENGTH, K = 50, 12
 _LEVEL = 6
-_BATCH, _BUCKET, _ROWS = 3 << 20, 20 << 20, 20_000
+_BATCH, _BUCKET, _ROWS = 3 << 20, 12 << 20, 20_000
 
 
-def _packed(*arrays: object, level: int = 3) -> bytes:
+def _packed(*arrays: np.ndarray, level: int = 3) -> bytes:
+    """Arrays, flat, in a few bytes more than they hold, so that very many small blobs cost little; compressed if that helps."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(arrays, protocol=5))
+    head = b"".join(a.dtype.char.encode() + struct.pack("<I", a.size) for a in arrays)
+    raw = bytes([len(arrays)]) + head + b"".join(a.tobytes() for a in arrays)
+    return b"\0" + raw if len(raw) < 256 else b"\1" + zstandard.ZstdCompressor(level=level).compress(raw)
 
 
-def _unpacked(blob: bytes) -> tuple:
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob[1:]) if blob[0] else blob[1:]
+    out, at = [], 1 + 5 * raw[0]
+    for i in range(raw[0]):
+        kind, n = chr(raw[1 + 5 * i]), struct.unpack_from("<I", raw, 2 + 5 * i)[0]
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _packed_rows(rows: list[tuple]) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=_LEVEL).compress(pickle.dumps(rows, protocol=5))
+
+
+def _unpacked_rows(blob: bytes) -> list[tuple]:
     import zstandard
 
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
+def _cuts(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each of the sorted keys that is there, and where it stands."""
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=False):
+        yield int(keys[a]), slice(a, b)
+
+
 def _home(doc: np.ndarray, tie: np.ndarray, n: int) -> np.ndarray:
     return (mix(doc.astype(np.int64).view(np.uint64) ^ mix(tie.astype(np.int64).view(np.uint64))) % np.uint64(n)).astype(np.int64)
 
@@ -138,26 +167,26 @@ def _dealt(docs: DataFrame, buckets: int, homes: int, length: int, k: int) -> Da
             blobs: list[tuple[int, str, bytes]] = []
             bucket = (least[keep] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
             place = np.zeros(len(at), np.int64)
-            for b in range(buckets):
-                one = keep[by[cuts[b] : cuts[b + 1]]]
+            own = {b: keep[by[cut]] for b, cut in _cuts(bucket[by])}
+            for one in own.values():
                 place[one] = np.arange(len(one))
             of, same = base[twin], order[twin]
-            home = (least[of] % np.uint64(buckets)).astype(np.int64) if len(of) else np.zeros(0, np.int64)
-            for b in range(buckets):
-                one = keep[by[cuts[b] : cuts[b + 1]]]
-                if len(one):
-                    t = np.flatnonzero(home == b) if len(home) else np.zeros(0, np.int64)
-                    short = (least[one] // np.uint64(buckets)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-                    used = ctx[one][np.arange(width)[None, :] < (count[one] + (length - 1))[:, None]]
-                    steps = np.diff(row[one], prepend=0).astype(np.int32), np.diff(where[one], prepend=0).astype(np.int32)
-                    blobs.append((b, "context", _packed(np.diff(ids, prepend=0), ties, *steps, count[one].astype(np.uint8), short.copy(), used, place[of[t]].astype(np.int32), row[same[t]], where[same[t]].astype(np.int32), level=_LEVEL)))
+            home = (least[of] % np.uint64(buckets)).astype(np.int64)
+            t_by = np.argsort(home, kind="stable")
+            twins = {b: t_by[cut] for b, cut in _cuts(home[t_by])}
+            for b, one in own.items():
+                t = twins.get(b, t_by[:0])
+                here = np.unique(np.concatenate((row[one], row[same[t]])))
+                short = (least[one] // np.uint64(buckets)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+                used = ctx[one][np.arange(width)[None, :] < (count[one] + (length - 1))[:, None]]
+                steps = np.diff(np.searchsorted(here, row[one]), prepend=0).astype(np.int32), np.diff(where[one], prepend=0).astype(np.int32)
+                blobs.append((b, "context", _packed(np.diff(ids[here], prepend=0), ties[here], *steps, count[one].astype(np.uint8), short.copy(), used, place[of[t]].astype(np.int32), np.searchsorted(here, row[same[t]]).astype(np.int32), where[same[t]].astype(np.int32), level=_LEVEL)))
             if len(done):
                 h = _home(ids[row[done]], ties[row[done]], homes)
-                for b in np.unique(h):
-                    d = done[h == b]
-                    d = d[np.lexsort((where[d], row[d]))]
+                sorted_ = np.lexsort((where[done], row[done], h))
+                for b, cut in _cuts(h[sorted_]):
+                    d = done[sorted_[cut]]
                     blobs.append((int(least[0] % np.uint64(buckets)), f"span {b}", _packed(ids[row[d]], ties[row[d]], where[d], where[d] + count[d] + (length - 1))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blobs, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], names=["bucket", "kind", "blob"])
 
@@ -171,7 +200,7 @@ def _spans_of_bucket(blobs: list[bytes], length: int, k: int) -> tuple[np.ndarra
     total = 0
     while blobs:  # each is dropped once it is unpacked
         ids, ties, row, step, count, low, used, of, row2, where2 = _unpacked(blobs.pop())
-        ids, row, count = np.cumsum(ids), np.cumsum(row), count.astype(np.int64)
+        ids, row, count, low = np.cumsum(ids), np.cumsum(row), count.astype(np.int64), low.reshape(-1, 3)
         short = np.zeros((len(low), 4), np.uint8)
         short[:, :3] = low
         short = short.view("<u4").reshape(-1)
@@ -276,11 +305,9 @@ def duplicate_spans(docs: DataFrame, homes: int, buckets: int, length: int = LEN
             doc, tie, start, end = _spans_of_bucket(contexts, length, k)
             home = _home(doc, tie, homes)
             by = np.lexsort((start, doc, home))
-            cuts = np.searchsorted(home[by], np.arange(homes + 1))
-            for h in range(homes):
-                i = by[cuts[h] : cuts[h + 1]]
-                if len(i):
-                    out.append((h, _packed(doc[i], tie[i], start[i], end[i])))
+            for h, cut in _cuts(home[by]):
+                i = by[cut]
+                out.append((h, _packed(doc[i], tie[i], start[i], end[i])))
         return pd.DataFrame(out, columns=["home", "blob"])
 
     return _dealt(docs, buckets, homes, length, k).groupBy("bucket").applyInPandas(run, "home long, blob binary")
@@ -290,7 +317,8 @@ def _texts_by_home(docs: DataFrame, homes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_bytes(rows_of(batches), _BATCH, lambda r: len(r[1]) + 64):
             home = _home(np.array([r[0] or 0 for r in group], np.int64), np.array([r[2] for r in group], np.int64), homes)
-            rows = [(int(h), _packed([group[i] for i in np.flatnonzero(home == h)], level=_LEVEL)) for h in np.unique(home)]
+            by = np.argsort(home, kind="stable")
+            rows = [(h, _packed_rows([group[i] for i in by[cut]])) for h, cut in _cuts(home[by])]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["home", "blob"])
 
     return docs.select("doc_id", "text", "tie").mapInArrow(run, "home long, blob binary")
@@ -307,7 +335,7 @@ def _rows(spans: pd.DataFrame, blobs: pd.DataFrame) -> Iterator[tuple[int | None
     first = np.flatnonzero(fresh)
     known = {(int(doc[i]), int(tie[i])): (i, j) for i, j in zip(first, np.append(first[1:], len(doc)), strict=True)}
     for blob in blobs["blob"]:
-        for d, text, t in _unpacked(blob)[0]:
+        for d, text, t in _unpacked_rows(blob):
             i, j = known.get((d, t), (0, 0))
             if i == j:
                 yield d, text, start[:0], end[:0]
@@ -335,7 +363,6 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = K, with_bytes: b
     buckets = max(4, -(-size // _BUCKET))
     homes = max(4, -(-size // _BUCKET))
     spans = materialise(duplicate_spans(rows.where("doc_id is not null"), homes, buckets, length, k))
-    release(docs.sparkSession)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
