@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -25,6 +25,8 @@ from .tokens import default_path, encoder
 MAGIC = b"IDSHARD1"
 TAIL = struct.Struct("<QQQ32s")
 END = 0
+#: Shards whose starts are summed in one task.
+_GROUP = 4096
 
 
 class ShardWriter:
@@ -111,7 +113,7 @@ def write(docs: DataFrame, to: str, path: str | None = None, dictionary: bytes |
 
     Shards follow ascending doc_id, null first; rows of equal doc_id go by a hash of their text, and are all kept. Null
     texts are empty; each document ends with id 0. An empty table gives no shard. Each attempt of a task writes a file
-    of its own, and only the files of attempts that Spark took are listed.
+    of its own, and only the files of attempts that Spark took are listed. Other columns are not read.
     """
     path, spark = path or default_path(), docs.sparkSession
     ship(spark)
@@ -142,14 +144,16 @@ def write(docs: DataFrame, to: str, path: str | None = None, dictionary: bytes |
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [name], "first": pa.array([first], pa.int64()), "tie": [None], "n_docs": [len(writer.docs)], "n_tokens": [total], "n_bytes": [writer.offsets[-1]]}, pa.schema([("path", pa.string()), ("first", pa.int64()), ("tie", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
-    ranged = rows.repartitionByRange(shards, F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
+    # the number of a row tells equal rows apart, so that any number of them can be dealt to several shards
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    ranged = rows.repartitionByRange(shards, F.asc_nulls_first("doc_id"), "tie", "row").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie", "row")
     made = ranged.select("doc_id", "text", "tie").mapInArrow(run, "path string, first long, tie long, n_docs long, n_tokens long, n_bytes long").withColumn("part", F.spark_partition_id())
-    listed = materialise(made, f"{to.rstrip('/')}/shards-{uuid.uuid4().hex}").orderBy("part").collect()  # a row each shard
-    out, start = [], 0
-    for r in listed:
-        out.append((r["path"], r["n_docs"], r["n_tokens"], r["n_bytes"], start))
-        start += r["n_tokens"]
-    return spark.createDataFrame(out, "path string, n_docs long, n_tokens long, n_bytes long, start long")
+    listed = materialise(made, f"{to.rstrip('/')}/shards-{uuid.uuid4().hex}").withColumn("of", F.floor(F.col("part") / _GROUP))
+    # starts: within groups of shards, and before each group
+    groups = listed.groupBy("of").agg(F.sum("n_tokens").alias("n")).select("of", F.coalesce(F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("group_start"))
+    own = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = listed.withColumn("own", own).join(groups, "of")
+    return materialise(out.select("path", "n_docs", "n_tokens", "n_bytes", (F.col("own") + F.col("group_start")).alias("start")), f"{to.rstrip('/')}/starts-{uuid.uuid4().hex}")
 
 
 def read(shards: DataFrame, to: str, dictionary_hash: str | None = None) -> DataFrame:
