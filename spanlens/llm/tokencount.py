@@ -12,7 +12,7 @@ from .common import texts
 from .tokens import _bytes_of, default_path
 
 WORD_START = "Ġ"
-_HELD = 1_000_000
+_HELD = 128 << 20
 
 
 class LongestMatch:
@@ -77,14 +77,18 @@ class LongestMatch:
 
 
 class Counts(dict):
-    """Of words met before; the table is emptied when it is full."""
+    """Of words met before; the table is emptied when these hold many bytes."""
+
+    held = 0
 
     def __init__(self, automaton: LongestMatch):
         self.automaton = automaton
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _HELD:
+        self.held += len(word) + 120
+        if self.held > _HELD:
             self.clear()
+            self.held = len(word) + 120
         n = self[word] = self.automaton.count(word)
         return n
 
@@ -107,7 +111,8 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_words, n_tokens, n_unknown.
 
     Words are the runs of bytes of a text other than ASCII white space; n_tokens sums their pieces, an unknown word
-    being one. Null and empty texts have none.
+    being one. Null and empty texts have none. Repeated rows come out as often as they come in; other columns are not
+    read.
     """
     path = path or default_path()
     ship(docs.sparkSession)
