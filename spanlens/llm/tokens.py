@@ -8,6 +8,8 @@ import re
 
 import numpy as np
 
+#: Characters between two texts that are encoded both ways.
+CHECK = 1 << 18
 #: Characters for which both libraries split and merge alike; a text with another one goes to the library whole.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]")
 
@@ -30,8 +32,9 @@ class Encoder:
     """Ids as the tokenizers library gives them with add_special_tokens=False.
 
     The library reads the file and encodes any text that holds a special token or a character outside the common
-    ranges. For all other texts its vocabulary is run by tiktoken, which gives the same ids several times faster; the
-    first text of each worker is encoded both ways and must agree.
+    ranges. For all other texts its vocabulary is run by tiktoken, which gives the same ids several times faster. Every
+    text that begins another CHECK characters of these is encoded both ways, from a worker's first text on; should
+    two differ, the task fails.
     """
 
     def __init__(self, path: str):
@@ -43,7 +46,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.special = sorted(added)
-        stand, self.fast, self.agreed = _bytes_of(), None, False
+        stand, self.fast, self.since = _bytes_of(), None, CHECK
         ranks = {bytes(stand[c] for c in piece): i for piece, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if piece not in added}
         model = json.loads(self.tokenizer.to_str())
         if model["model"]["type"] == "BPE" and model["normalizer"] is None and (model["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not model["pre_tokenizer"]["add_prefix_space"]:
@@ -56,10 +59,11 @@ class Encoder:
         if self.fast is None or _OTHER.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         out = np.array(self.fast.encode_ordinary(text), np.uint32)
-        if not self.agreed and text:
+        self.since += len(text)
+        if self.since >= CHECK and text:
+            self.since = 0
             if not np.array_equal(out, self.whole(text)):
-                self.fast, out = None, self.whole(text)
-            self.agreed = True
+                raise RuntimeError("tiktoken and the tokenizers library give different ids for a text")
         return out
 
 
