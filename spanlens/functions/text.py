@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,8 +18,20 @@ WORD = rf"{_LETTER}+'(?={_LETTER})|{_LETTER}+|\p{{Nd}}+"
 TAG = "<[A-Z][A-Z0-9-]*>"
 #: Fixed order of tag categories; others follow, sorted.
 TAG_CATEGORIES = ("LEX", "SYN", "MORPH", "ORTHO", "DISC")
-#: Below U+0300 every text is in normal form C already.
-_MAYBE_NOT_NFC = r"[^\x{0}-\x{2FF}]"
+
+
+@lru_cache(maxsize=1)
+def _maybe_not_nfc() -> str:
+    """A class of the characters without which a text is in normal form C: marks, vowels and finals of Hangul, which
+    may join what stands before them, and those that are normalised away even alone."""
+    alone = [c for c in range(0x340, 0x110000) if not 0xD800 <= c < 0xE000 and not unicodedata.is_normalized("NFC", chr(c))]
+    runs: list[list[int]] = []
+    for c in alone:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return r"[\p{M}\x{1161}-\x{1175}\x{11A8}-\x{11C2}" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]"
 
 
 @F.pandas_udf(T.StringType())
@@ -28,7 +41,7 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 def nfc(c: Column) -> Column:
     """Normal form C. Only texts that may not be in it are sent to Python."""
-    return F.coalesce(_nfc(F.when(F.rlike(c, F.lit(_MAYBE_NOT_NFC)), c)), c)
+    return F.coalesce(_nfc(F.when(F.rlike(c, F.lit(_maybe_not_nfc())), c)), c)
 
 
 def normalize(c: Column, is_nfc: bool = False) -> Column:
@@ -63,6 +76,11 @@ def word_ngrams(words: Column, n_min: int = 3, n_max: int = 5) -> Column:
     return F.flatten(F.transform(words, of_word))
 
 
+def n_word_ngrams(length: Column, n_min: int = 3, n_max: int = 5) -> Column:
+    """How many n-grams word_ngrams makes of a word of a length."""
+    return F.when(length < n_min, F.lit(1)).otherwise(sum((F.greatest(length - (n - 1), F.lit(0)) for n in range(n_min, n_max + 1)), F.lit(0)))
+
+
 def char_ngram_tokenize(c: Column, n_min: int = 3, n_max: int = 5, stopwords: Sequence[str] = (), is_nfc: bool = False) -> Column:
     return word_ngrams(word_tokenize(c, stopwords, is_nfc), n_min, n_max)
 

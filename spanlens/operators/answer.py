@@ -217,7 +217,12 @@ def grid(tier: str) -> list[tuple[str, str, int]]:
     return out + [(m, s, 5) for s in compared for m in GRID_METHODS]
 
 
-def run(config: RunConfig, client: Client | None, questions: DataFrame, contexts: DataFrame | None, out_dir: str) -> dict:
+def utc_stamp(ts: Column) -> Column:
+    """ISO seconds with Z; the session's time zone must be UTC."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def run(config: RunConfig, client: Client | None, questions: DataFrame, contexts: DataFrame | None, out_dir: str, retries: int = 3, backoff: float = 2.0) -> dict:
     """Answers what the log in out_dir doesn't hold yet, appends it there, and returns counters.
 
     contexts (question_id, context, context_chunk_ids) is None for closed-book and random runs. The log is a folder of JSON
@@ -243,8 +248,8 @@ def run(config: RunConfig, client: Client | None, questions: DataFrame, contexts
     else:
         joined = todo.join(contexts, "question_id", "left") if contexts is not None else todo.withColumn("context", F.lit(None).cast("string")).withColumn("context_chunk_ids", F.array().cast("array<string>"))
         prompts = joined.select("question_id", build_prompt(F.col("question"), F.col("presented"), F.col("context")).alias("prompt"))
-        fresh = graded(answers(prompts, client), todo).join(joined.select("question_id", "context_chunk_ids"), "question_id")
-    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        fresh = graded(answers(prompts, client, retries, backoff), todo).join(joined.select("question_id", "context_chunk_ids"), "question_id")
+    stamp = utc_stamp(F.current_timestamp())
     rows = fresh.select("question_id", F.lit(config.system).alias("system"), F.lit(config.setting).alias("setting"), F.lit(config.k).cast("int").alias("k"), F.lit(config.model).alias("model"), "context_chunk_ids", "raw_output", "parsed_letter", "parse_status", "semantic_choice", "is_correct", stamp.alias("timestamp")).cache()
     got = rows.agg(F.count("*").alias("n"), F.count_if("is_correct").alias("c"), F.count_if(F.col("parse_status") == "unparseable").alias("u"), F.count_if(F.col("parse_status") == "error").alias("e")).first()
     rows.write.mode("append").json(log)

@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import n_word_ngrams, word_ngrams
+from ..storage import materialise, small
+
 K1, B = 1.5, 0.75
 
 
@@ -20,43 +23,64 @@ def term_weight(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float
 
 
 class BM25Index:
-    """docs: scope, doc_id, tokens. Empty documents count in the number of documents and the mean length."""
+    """docs: scope, doc_id, tokens. Empty documents count in the number of documents and the mean length.
+
+    With grams, tokens are words, and terms are their character n-grams of grams[0] to grams[1] letters. These are made
+    once for each distinct word, not for each place where it stands.
+    """
 
-    def __init__(self, docs: DataFrame, k1: float = K1, b: float = B):
-        self.docs, self.k1, self.b = docs.select("scope", "doc_id", "tokens"), k1, b
-        self.lengths = self.docs.select("scope", "doc_id", F.size("tokens").alias("dl"))
+    def __init__(self, docs: DataFrame, k1: float = K1, b: float = B, grams: tuple[int, int] | None = None):
+        self.docs, self.k1, self.b, self.grams = docs.select("scope", "doc_id", "tokens"), k1, b, grams
+        length = F.size("tokens") if grams is None else F.aggregate("tokens", F.lit(0), lambda n, w: n + n_word_ngrams(F.length(w), *grams))
+        self.sized = self.docs.select("scope", "doc_id", length.alias("dl"), "tokens")
+        self.lengths = self.sized.select("scope", "doc_id", "dl")
         self.scopes = self.lengths.groupBy("scope").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
         """scope, doc_id, dl, term, tf; only of terms (scope, term), if given: nothing else of the corpus is shuffled."""
-        long = self.docs.select("scope", "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        key = ["scope", "doc_id", "dl"]
+        if self.grams is None:
+            long = self.sized.select(*key, F.explode("tokens").alias("term"))
+            if terms is not None:
+                long = long.join(terms, ["scope", "term"], "left_semi")
+            return long.groupBy(*key, "term").agg(F.count("*").alias("tf"))
+        # a document's words stay in one partition from here on, so its counts need no further shuffle
+        placed = self.sized.repartition("scope", "doc_id").select(*key, F.explode("tokens").alias("word"))
+        counts = placed.groupBy(*key, "word").agg(F.count("*").alias("c"))
+        grams = self.docs.select("scope", F.explode("tokens").alias("word")).distinct().select("scope", "word", F.explode(word_ngrams(F.array("word"), *self.grams)).alias("term"))
         if terms is not None:
-            long = long.join(terms, ["scope", "term"], "left_semi")
-        return long.groupBy("scope", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+            grams = grams.join(terms, ["scope", "term"], "left_semi")
+        grams = small(materialise(grams.groupBy("scope", "word", "term").agg(F.count("*").alias("m"))))
+        return counts.join(grams, ["scope", "word"]).groupBy(*key, "term").agg(F.sum(F.col("c") * F.col("m")).alias("tf"))
 
     def score(self, queries: DataFrame) -> DataFrame:
         """query_id, scope, doc_id, score of documents that share a term with queries (query_id, scope, tokens); a query's
-        repeated term counts as often as it stands."""
-        wanted = queries.select("query_id", "scope", F.explode("tokens").alias("term")).groupBy("query_id", "scope", "term").agg(F.count("*").alias("qtf"))
-        postings = self.postings(wanted.select("scope", "term").distinct())
-        df = postings.groupBy("scope", "term").agg(F.count("*").alias("df")).join(self.scopes, "scope")
-        weights = df.select("scope", "term", "avgdl", idf(F.col("n_docs"), F.col("df")).alias("idf"))
-        hits = wanted.join(weights, ["scope", "term"]).join(postings, ["scope", "term"])
-        part = F.col("qtf") * F.col("idf") * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), self.k1, self.b)
-        return hits.groupBy("query_id", "scope", "doc_id").agg(F.sum(part).alias("score"))
-
-    def rank(self, queries: DataFrame, k: int | None = None, fill: bool = True) -> DataFrame:
-        """query_id, doc_id, score, rank: by score rounded to 9 places, then doc_id.
+        repeated term counts as often as it stands. With grams, a query's tokens are n-grams.
+
+        Postings of the queries' terms are written once, as document frequencies and scores both read them.
+        """
+        wanted = materialise(queries.select("query_id", "scope", F.explode("tokens").alias("term")).groupBy("query_id", "scope", "term").agg(F.count("*").alias("qtf")))
+        terms = small(materialise(wanted.select("scope", "term").distinct()))
+        scopes = small(materialise(self.scopes))
+        postings = materialise(self.postings(terms))
+        df = postings.groupBy("scope", "term").agg(F.count("*").alias("df")).join(scopes, "scope")
+        asked = wanted.join(df, ["scope", "term"]).select("query_id", "scope", "term", (F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("weight"))
+        weighed = postings.join(scopes, "scope").select("scope", "doc_id", "term", term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), self.k1, self.b).alias("in_doc"))
+        hits = weighed.join(small(materialise(asked)), ["scope", "term"])
+        return hits.groupBy("query_id", "scope", "doc_id").agg(F.sum(F.col("weight") * F.col("in_doc")).alias("score"))
+
+    def rank(self, queries: DataFrame, k: int | None = None, fill: bool = True, scored: DataFrame | None = None) -> DataFrame:
+        """query_id, doc_id, score, rank: by score rounded to 9 places, then doc_id. scored: of score(), if there already.
 
         The full ranking holds every document of the scope, those without a shared term at score 0. With k only the
         first k are made. Where fewer than k share a term, the least doc_ids of the scope follow at score 0, of which k
         are looked at; without fill, they don't.
         """
-        scored = self.score(queries)
+        if k is not None and k <= 0:
+            raise ValueError("k must be at least 1")
+        scored = self.score(queries) if scored is None else scored
         order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("doc_id"))
         if k is not None:
-            if k <= 0:
-                raise ValueError("k must be at least 1")
             top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
             if not fill:
                 return top

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import n_tokens, trim_bounds
+from ..functions.text import fold, let, n_tokens, pieces_between, running
 
 # Fixed values of the chunk strategies.
 WINDOW, OVERLAP = 150, 0.5
@@ -17,77 +17,75 @@ ENDS_AT_EOL = rf"[.!?…]{CLOSERS}*\z"
 
 #: A noncharacter, which no text interchanged as Unicode holds, marks cuts.
 _CUT = "\ufdd0"
-_SPANS = "array<struct<start:int,end:int>>"
+_SPAN = "struct<start:int,end:int>"
+
+# Each strategy makes array of struct(start, end, text). Texts come from the pieces that a body is cut into, and offsets
+# are sums of lengths of pieces, so that nothing is looked for from the body's beginning again.
 
 
 def _pieces(body: Column, pattern_cut: str, keep: str) -> Column:
     return F.split(F.regexp_replace(body, pattern_cut, keep), _CUT)
 
 
-def _offsets(pieces: Column, at: Column | None = None) -> Column:
-    """Spans of pieces that follow each other without gaps, from at on."""
-    start = F.struct((F.lit(0) if at is None else at).cast("int").alias("at"), F.array().cast(_SPANS).alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        end = acc["at"] + F.length(p)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end")))).alias("out"))
+def _trim(piece: Column, at: Column) -> Column:
+    """struct of what is left of a piece at a place without white space at its edges."""
+    lead = F.length(F.regexp_extract(piece, r"(?U)\A\s*", 0))
+    kept = F.regexp_replace(piece, r"(?U)\A\s+|\s+\z", "")
+    return let(F.struct((at + lead).cast("int").alias("start"), kept.alias("text")), lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), x["text"].alias("text")))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
+def _trimmed(pieces: Column) -> Column:
+    """Pieces that follow each other without gaps, trimmed; those of white space only are left out."""
 
-def _trimmed(body: Column, spans: Column) -> Column:
-    def one(s: Column) -> Column:
-        a, b = trim_bounds(body, s["start"], s["end"])
-        return F.struct(a.alias("start"), b.alias("end"))
+    def of(p: Column) -> Column:
+        placed = F.zip_with(p, running(F.transform(p, lambda x: F.length(x))), _trim)
+        return F.filter(placed, lambda s: s["start"] < s["end"])
 
-    return F.filter(F.transform(spans, one), lambda s: s["start"] < s["end"])
+    return let(pieces, of)
 
 
 def sentence_spans(body: Column) -> Column:
     """Cuts after sentence-final punctuation and closers before white space or the end, and before blank lines."""
     marked = F.regexp_replace(body, rf"({BLANK_LINE})", f"{_CUT}$1")
-    return _trimmed(body, _offsets(_pieces(marked, SENTENCE_END, f"$1{_CUT}")))
+    return _trimmed(_pieces(marked, SENTENCE_END, f"$1{_CUT}"))
 
 
 def blank_line_spans(body: Column) -> Column:
-    return _trimmed(body, _offsets(_pieces(body, rf"({BLANK_LINE})", f"{_CUT}$1")))
-
+    return _trimmed(_pieces(body, rf"({BLANK_LINE})", f"{_CUT}$1"))
 
-def line_group_spans(body: Column, span: Column) -> Column:
-    """Lines of a long unit gathered until a line ends a sentence with MIN_TOKENS held, or MAX_TOKENS are held.
 
-    A fold over lines with a state that is reset whenever a group is closed.
-    """
-    text = F.substring(body, span["start"] + 1, span["end"] - span["start"])
+def line_group_spans(text: Column) -> Column:
+    """struct(start, end) in a long unit of lines gathered until a line ends a sentence with MIN_TOKENS held, or
+    MAX_TOKENS are held: a fold over lines with a state that is reset whenever a group is closed."""
     none = F.lit(None).cast("int")
-    state = F.struct(span["start"].cast("int").alias("at"), none.alias("open"), F.lit(0).alias("held"), F.array().cast(_SPANS).alias("out"))
 
-    def step(acc: Column, line: Column) -> Column:
+    def step(acc: Column, line: Column) -> tuple[dict[str, Column], Column]:
         end = acc["at"] + F.length(line)
         blank = ~F.rlike(line, F.lit(r"(?U)\S"))
         opened = F.coalesce(acc["open"], acc["at"])
         held = acc["held"] + n_tokens(line)
         ends = F.rlike(F.regexp_replace(line, r"(?U)\s+\z", ""), F.lit(ENDS_AT_EOL))
         flush = ~blank & ((ends & (held >= MIN_TOKENS)) | (held >= MAX_TOKENS))
-        closed = F.concat(acc["out"], F.array(F.struct(opened.alias("start"), end.alias("end"))))
-        return F.struct(
-            (end + 1).alias("at"), F.when(blank, acc["open"]).when(flush, none).otherwise(opened).alias("open"),
-            F.when(blank, acc["held"]).when(flush, F.lit(0)).otherwise(held).alias("held"), F.when(flush, closed).otherwise(acc["out"]).alias("out"),
-        )
+        closed = F.when(flush, F.array(F.struct(opened.alias("start"), end.alias("end")))).otherwise(F.array().cast(f"array<{_SPAN}>"))
+        state = {"at": end + 1, "open": F.when(blank, acc["open"]).when(flush, none).otherwise(opened), "held": F.when(blank, acc["held"]).when(flush, F.lit(0)).otherwise(held)}
+        return state, closed
 
     def finish(acc: Column) -> Column:
-        rest = F.array(F.struct(acc["open"].alias("start"), span["end"].cast("int").alias("end")))
+        rest = F.array(F.struct(acc["open"].alias("start"), F.length(text).alias("end")))
         return F.when(acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], rest))
 
-    return F.aggregate(F.split(text, "\n"), state, step, finish)
+    return let(fold(F.split(text, "\n"), {"at": F.lit(0), "open": none, "held": F.lit(0)}, _SPAN, step), finish)
 
 
 def paragraph_spans(body: Column) -> Column:
-    def one(s: Column) -> Column:
-        long = n_tokens(F.substring(body, s["start"] + 1, s["end"] - s["start"])) > MAX_TOKENS
-        return F.when(long, line_group_spans(body, s)).otherwise(F.array(F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))))
+    def grouped(u: Column) -> Column:
+        def of(g: Column) -> Column:
+            texts = pieces_between(u["text"], F.transform(g, lambda s: s["start"]), F.transform(g, lambda s: s["end"]))
+            return F.filter(F.zip_with(texts, g, lambda t, s: _trim(t, u["start"] + s["start"])), lambda s: s["start"] < s["end"])
 
-    return _trimmed(body, F.flatten(F.transform(blank_line_spans(body), one)))
+        return let(line_group_spans(u["text"]), of)
+
+    return F.flatten(F.transform(blank_line_spans(body), lambda u: F.when(n_tokens(u["text"]) > MAX_TOKENS, grouped(u)).otherwise(F.array(u))))
 
 
 def token_pieces(body: Column) -> Column:
@@ -95,21 +93,27 @@ def token_pieces(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(r"(?U)\s*\S+"), F.lit(0))
 
 
-def overlap_spans(body: Column, window: int = WINDOW, overlap: float = OVERLAP, pieces: Column | None = None) -> Column:
+def overlap_spans(body: Column, window: int = WINDOW, overlap: float = OVERLAP) -> Column:
     """Windows of tokens; the first starts at 0 and the last ends with the body. A body without tokens has none."""
     step = max(1, window - int(window * overlap))
-    pieces = token_pieces(body) if pieces is None else pieces
-    n = F.size(pieces)
-    count = F.when(n <= window, F.lit(1)).otherwise(F.ceil((n - window) / F.lit(float(step))).cast("int") + 1)
 
-    def one(i: Column) -> Column:
-        first = F.length(F.array_join(F.slice(pieces, F.lit(1), i * step), ""))
-        lead = F.length(F.regexp_extract(F.get(pieces, i * step), r"(?U)\A\s*", 0))
-        start = F.when(i == 0, F.lit(0)).otherwise(first + lead)
-        end = F.when(i == count - 1, F.length(body)).otherwise(first + F.length(F.array_join(F.slice(pieces, i * step + 1, F.lit(window)), "")))
-        return F.struct(start.alias("start"), end.alias("end"))
+    def of(p: Column) -> Column:
+        n = F.size(p)
+        count = F.when(n <= window, F.lit(1)).otherwise(F.ceil((n - window) / F.lit(float(step))).cast("int") + 1)
+        # where windows start: sums of lengths of the steps before
+        strides = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.length(F.array_join(F.slice(p, i * step + 1, F.lit(step)), "")))
+
+        def one(at: Column, i: Column) -> Column:
+            joined = F.array_join(F.slice(p, i * step + 1, F.lit(window)), "")
+            text = F.when(i == 0, joined).otherwise(F.regexp_replace(joined, r"(?U)\A\s+", ""))
+            start = at + F.when(i == 0, F.lit(0)).otherwise(F.length(joined) - F.length(text))
+            end = F.when(i == count - 1, F.length(body)).otherwise(at + F.length(joined))
+            tail = F.when(i == count - 1, F.regexp_extract(body, r"(?U)\s*\z", 0)).otherwise("")
+            return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.concat(text, tail).alias("text"))
+
+        return F.when(n == 0, F.array().cast("array<struct<start:int,end:int,text:string>>")).otherwise(F.transform(running(strides), one))
 
-    return F.when(n == 0, F.array().cast(_SPANS)).otherwise(F.transform(F.sequence(F.lit(0), count - 1), one))
+    return let(token_pieces(body), of)
 
 
 STRATEGIES = {"paragraph": paragraph_spans, "overlap": overlap_spans, "sentence": sentence_spans}
@@ -119,12 +123,9 @@ def chunk(texts: DataFrame, strategy: str, **how: object) -> DataFrame:
     """chunk_id, text_id, idx, chunk_text, start_char, end_char, n_tokens of texts (text_id, body)."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy!r}")
-    body = F.col("body")
-    if strategy == "overlap":  # a column of its own, so that it is made once a text and not once a window
-        texts, how = texts.withColumn("_pieces", token_pieces(body)), {**how, "pieces": F.col("_pieces")}
-    rows = texts.select("text_id", "body", F.posexplode(STRATEGIES[strategy](body, **how)).alias("idx", "s"))
-    piece = F.substring(body, F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    return rows.select(F.format_string(f"%s_{strategy}_c%03d", F.col("text_id").cast("string"), "idx").alias("chunk_id"), "text_id", "idx", piece.alias("chunk_text"), F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char")).withColumn("n_tokens", n_tokens(F.col("chunk_text")))
+    rows = texts.select("text_id", F.posexplode(STRATEGIES[strategy](F.col("body"), **how)).alias("idx", "s"))
+    name = F.format_string(f"%s_{strategy}_c%03d", F.col("text_id").cast("string"), "idx")
+    return rows.select(name.alias("chunk_id"), "text_id", "idx", F.col("s.text").alias("chunk_text"), F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"), n_tokens(F.col("s.text")).alias("n_tokens"))
 
 
 def coverage(chunks: DataFrame, texts: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import covers_half, overlaps, resolved
+from ..storage import materialise, small
+from .bm25 import BM25Index
 
 KS = (1, 3, 5, 10)
 
@@ -22,23 +24,56 @@ def first_ranks(rankings: DataFrame, questions: DataFrame, chunks: DataFrame, ks
     c = chunks.select("chunk_id", F.col("text_id").alias("c_text"), "start_char", "end_char", "n_tokens")
     q = questions.select("question_id", "text_id", "critical_span", "distractor_span")
     rows = rankings.select("question_id", "chunk_id", "rank").join(q, "question_id").join(c, "chunk_id", "left")
+    aggs = [F.min(F.when(cond, F.col("rank"))).alias(name) for name, cond in _criteria().items()]
+    tokens = [F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("n_tokens"))), F.lit(0)).alias(f"tokens_{k}") for k in ks]
+    return rows.groupBy("question_id").agg(*aggs, F.max(_known("critical_span")).alias("has_evidence"), F.max(_known("distractor_span")).alias("has_lure"), *tokens)
+
+
+def _at(span: str) -> tuple:
+    return F.col(f"{span}.start"), F.col(f"{span}.end")
+
+
+def _known(span: str):
+    return resolved(F.col(f"{span}.status"), *_at(span))
+
+
+def _criteria() -> dict:
+    """Of a row with a question's columns and a chunk's c_text, start_char and end_char."""
     same, cs, ce = F.col("c_text") == F.col("text_id"), F.col("start_char"), F.col("end_char")
+    meets = _known("critical_span") & same & overlaps(cs, ce, *_at("critical_span"))
+    return {"any": meets, "half": meets & covers_half(cs, ce, *_at("critical_span")), "source": same, "lure": _known("distractor_span") & same & overlaps(cs, ce, *_at("distractor_span"))}
 
-    def at(span: str) -> tuple:
-        return F.col(f"{span}.start"), F.col(f"{span}.end")
 
-    def known(span: str):
-        return resolved(F.col(f"{span}.status"), *at(span))
+def first_ranks_of_scores(index: BM25Index, queries: DataFrame, questions: DataFrame, chunks: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """What first_ranks gives for the full ranking of index for queries, without making that ranking.
 
-    ranks = {
-        "any": known("critical_span") & same & overlaps(cs, ce, *at("critical_span")),
-        "half": known("critical_span") & same & overlaps(cs, ce, *at("critical_span")) & covers_half(cs, ce, *at("critical_span")),
-        "source": same,
-        "lure": known("distractor_span") & same & overlaps(cs, ce, *at("distractor_span")),
-    }
-    aggs = [F.min(F.when(cond, F.col("rank"))).alias(name) for name, cond in ranks.items()]
-    tokens = [F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("n_tokens"))), F.lit(0)).alias(f"tokens_{k}") for k in ks]
-    return rows.groupBy("question_id").agg(*aggs, F.max(known("critical_span")).alias("has_evidence"), F.max(known("distractor_span")).alias("has_lure"), *tokens)
+    The first chunk of each kind is the one of the question's text with the best score; its rank is one more than the
+    number of chunks that go before it, which is a count. Only the first max(ks) chunks are ranked. A question whose
+    first chunk shares no term with it is ranked in full.
+    """
+    scored = materialise(index.score(queries).select("query_id", "doc_id", F.col("score"), F.round("score", 9).alias("s")))
+    q = questions.select("question_id", "text_id", "critical_span", "distractor_span")
+    c = chunks.select(F.col("chunk_id").alias("doc_id"), F.col("text_id").alias("c_text"), "start_char", "end_char")
+    own = q.join(c, F.col("c_text") == F.col("text_id")).join(scored.select(F.col("query_id").alias("question_id"), "doc_id", "s"), ["question_id", "doc_id"], "left")
+    place = F.struct((-F.coalesce("s", F.lit(0.0))).alias("s"), F.col("doc_id"))
+    kinds = _criteria()
+    best = materialise(own.groupBy("question_id").agg(*[F.min(F.when(cond, place)).alias(name) for name, cond in kinds.items()]))
+    asked = q.join(queries.select(F.col("query_id").alias("question_id")), "question_id").join(best, "question_id", "left")
+    ahead = {name: (F.struct((-F.col("s")).alias("s"), F.col("doc_id")) < F.col(name)) for name in kinds}
+    counts = scored.join(small(best), F.col("query_id") == F.col("question_id")).groupBy("question_id").agg(*[F.count_if(cond).alias(f"n_{name}") for name, cond in ahead.items()])
+    top = index.rank(queries, max(ks), scored=scored.select("query_id", F.lit("*").alias("scope"), "doc_id", "score"))
+    sums = top.join(chunks.select(F.col("chunk_id").alias("doc_id"), "n_tokens"), "doc_id", "left").groupBy(F.col("query_id").alias("question_id"))
+    tokens = sums.agg(*[F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("n_tokens"))), F.lit(0)).alias(f"tokens_{k}") for k in ks])
+    far = F.greatest(*[F.coalesce(F.col(f"{name}.s"), F.lit(-1.0)) for name in kinds]) >= 0
+    per = asked.withColumn("far", far).join(counts, "question_id", "left").join(tokens, "question_id")
+    ranks = [F.when(F.col(name).isNotNull(), F.coalesce(f"n_{name}", F.lit(0)) + 1).alias(name) for name in kinds]
+    flags = [_known("critical_span").alias("has_evidence"), _known("distractor_span").alias("has_lure")]
+    near = per.where("not far").select("question_id", *ranks, *flags, *[f"tokens_{k}" for k in ks])
+    rest = materialise(per.where("far").select(F.col("question_id").alias("query_id")))
+    if rest.isEmpty():
+        return near
+    ranked = index.rank(queries.join(rest, "query_id", "left_semi")).select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("chunk_id"), "rank")
+    return near.unionByName(first_ranks(ranked, questions, chunks, ks))
 
 
 def recall(rank: str, k: int, among: str | None = None):
@@ -53,7 +88,11 @@ def mrr(rank: str, among: str | None = None):
 
 def compute_metrics(rankings: DataFrame, questions: DataFrame, chunks: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     """Tidy rows metric, criterion, k, value (rounded to 6 places), n."""
-    per = first_ranks(rankings, questions, chunks, ks)
+    return tidy(first_ranks(rankings, questions, chunks, ks), ks)
+
+
+def tidy(per: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """The metrics of first_ranks()."""
     rows: list[tuple] = []
     for name, rank, among, criterion in (("evidence_recall", "any", "has_evidence", "any"), ("evidence_recall", "half", "has_evidence", "cov50"), ("source_recall", "source", None, "text"), ("distractor_rate", "lure", "has_lure", "any")):
         n = F.count("*") if among is None else F.count_if(F.col(among))
@@ -64,15 +103,23 @@ def compute_metrics(rankings: DataFrame, questions: DataFrame, chunks: DataFrame
         for stat, f in (("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max)):
             rows.append(("context_tokens", stat, k, f(F.col(f"tokens_{k}")).cast("double"), F.count("*")))
     one = per.agg(*[f.alias(f"v{i}") for i, (*_, f, _) in enumerate(rows)], *[n.alias(f"n{i}") for i, (*_, n) in enumerate(rows)])
-    tidy = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(c).alias("criterion"), F.lit(k).cast("int").alias("k"), F.round(F.col(f"v{i}"), 6).alias("value"), F.col(f"n{i}").alias("n")) for i, (m, c, k, *_) in enumerate(rows)])
-    return one.select(F.inline(tidy))
+    lines = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(c).alias("criterion"), F.lit(k).cast("int").alias("k"), F.round(F.col(f"v{i}"), 6).alias("value"), F.col(f"n{i}").alias("n")) for i, (m, c, k, *_) in enumerate(rows)])
+    return one.select(F.inline(lines))
+
+
+def skipped(rankings: DataFrame, questions: DataFrame) -> DataFrame:
+    """question_id and reasons (sorted, of missing_question, no_evidence, no_distractor) of ranked questions that some metric
+    leaves out, each once."""
+    ids = rankings.select("question_id").distinct()
+    q = questions.select("question_id", F.lit(True).alias("here"), _known("critical_span").alias("e"), _known("distractor_span").alias("d"))
+    why = {"missing_question": F.col("here").isNull(), "no_evidence": F.col("here") & ~F.col("e"), "no_distractor": F.col("here") & ~F.col("d")}
+    reasons = F.array_sort(F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in why.items()])))
+    return ids.join(q, "question_id", "left").select("question_id", reasons.alias("reasons")).where(F.size("reasons") > 0)
 
 
 def skip_counts(rankings: DataFrame, questions: DataFrame) -> DataFrame:
     """missing_question, no_evidence, no_distractor among ranked questions."""
-    ids = rankings.select("question_id").distinct()
-    q = questions.select("question_id", F.lit(True).alias("here"), resolved(F.col("critical_span.status"), F.col("critical_span.start"), F.col("critical_span.end")).alias("e"), resolved(F.col("distractor_span.status"), F.col("distractor_span.start"), F.col("distractor_span.end")).alias("d"))
-    return ids.join(q, "question_id", "left").agg(F.count_if(F.col("here").isNull()).alias("missing_question"), F.count_if(F.col("here") & ~F.col("e")).alias("no_evidence"), F.count_if(F.col("here") & ~F.col("d")).alias("no_distractor"))
+    return skipped(rankings, questions).agg(*[F.count_if(F.array_contains("reasons", r)).alias(r) for r in ("missing_question", "no_evidence", "no_distractor")])
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

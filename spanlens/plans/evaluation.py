@@ -80,12 +80,14 @@ def _item_predictions(q: DataFrame) -> DataFrame:
 
 
 def retrieval_vs_answer(spark: SparkSession, sf: str) -> DataFrame:
-    ranked, q, chunks = retrieval._evaluation(spark, sf)
+    index, asked, q, chunks = retrieval._evaluation(spark, sf)
+    ranked = retrieval._ranked(index, asked, 1)
     return _table(analysis.retrieval_vs_answer(_item_predictions(q), analysis.span_hits(ranked, chunks, q, 1, "critical_span")))
 
 
 def retrieval_trap(spark: SparkSession, sf: str) -> DataFrame:
-    ranked, q, chunks = retrieval._evaluation(spark, sf)
+    index, asked, q, chunks = retrieval._evaluation(spark, sf)
+    ranked = retrieval._ranked(index, asked, 3)
     out = analysis.retrieval_trap(_item_predictions(q), analysis.span_hits(ranked, chunks, q, 3, "critical_span"), analysis.span_hits(ranked, chunks, q, 3, "distractor_span"))
     return _table(out).withColumn("pct_distractor", F.round("pct_distractor", 6))
 

@@ -27,9 +27,9 @@ def grams(x: str) -> str:
     return f"flatten(list_transform({tok(x)}, lambda w: {_GRAMS}))"
 
 
-def bm25(docs: str, queries: str, full: bool = False, tf: str = "tf AS (SELECT scope, doc_id, term, count(*) AS tf FROM (SELECT scope, doc_id, unnest(toks) AS term FROM docs) GROUP BY ALL), dl AS (SELECT scope, doc_id, len(toks) AS dl FROM docs)") -> str:
+def bm25(docs: str, queries: str, tf: str = "tf AS (SELECT scope, doc_id, term, count(*) AS tf FROM (SELECT scope, doc_id, unnest(toks) AS term FROM docs) GROUP BY ALL), dl AS (SELECT scope, doc_id, len(toks) AS dl FROM docs)") -> str:
     """CTEs up to ranked(query_id, doc_id, score, rank), from docs and queries with scope and toks."""
-    last = "SELECT query_id, doc_id, s FROM sc" if not full else "SELECT q.query_id, d.doc_id, coalesce(sc.s, 0) AS s FROM queries q JOIN docs d USING (scope) LEFT JOIN sc ON sc.query_id = q.query_id AND sc.doc_id = d.doc_id"
+    last = "SELECT q.query_id, d.doc_id, coalesce(sc.s, 0) AS s FROM queries q JOIN docs d USING (scope) LEFT JOIN sc ON sc.query_id = q.query_id AND sc.doc_id = d.doc_id"
     return f"""docs AS ({docs}), queries AS ({queries}),
 {tf}, st AS (SELECT scope, count(*) AS n, avg(dl) AS a FROM dl GROUP BY scope),
 df AS (SELECT scope, term, count(*) AS df FROM tf GROUP BY ALL),
@@ -59,7 +59,7 @@ _GOLD = """g AS (SELECT b.item_id, b.text AS question, d.doc_id AS text_id, d.te
   FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(b.text) > 0 QUALIFY row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) = 1)"""
 
 _EVAL = f"""WITH {_CHUNKS}, {_GOLD},
-{bm25(f"SELECT '*' AS scope, chunk_id AS doc_id, {tok('substr(text, start_char + 1, end_char - start_char)')} AS toks FROM chunks", f"SELECT item_id AS query_id, '*' AS scope, {tok('question')} AS toks FROM g", True)},
+{bm25(f"SELECT '*' AS scope, chunk_id AS doc_id, {tok('substr(text, start_char + 1, end_char - start_char)')} AS toks FROM chunks", f"SELECT item_id AS query_id, '*' AS scope, {tok('question')} AS toks FROM g")},
 r AS (SELECT query_id, rank, c.n_tokens, c.text_id = g.text_id AS same, c.text_id = g.text_id AND start_char < e AND end_char > s AS hit,
   c.text_id = g.text_id AND start_char < e AND end_char > s AND 2 * (least(end_char, e) - greatest(start_char, s)) >= e - s AS half,
   c.text_id = g.text_id AND start_char < 2 * len(body) // 3 AND end_char > len(body) // 3 AS lure
@@ -157,7 +157,7 @@ ORACLE = {
     "squash_hyphens": r"SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS squashed, regexp_replace(text, '[\s\-‐‑]+', '', 'g') AS joined FROM benchmark",
     "bm25_open_top5": f"WITH {bm25(_DOCS, _ITEMS)} {_SHOW} WHERE rank <= 5",
     "bm25_char_top5": f"WITH {bm25(_DOCS, _ITEMS.replace(tok('text'), grams('text')), tf=_GRAM_TF)} {_SHOW} WHERE rank <= 5",
-    "bm25_full_rank": f"WITH {bm25(_DOCS, _ITEMS, True)} {_SHOW}",
+    "bm25_full_rank": f"WITH {bm25(_DOCS, _ITEMS)} {_SHOW}",
     "bm25_restricted_by_lang": "WITH " + bm25(_DOCS.replace("'*' AS scope", "lang AS scope"), f"SELECT concat(item_id, ':', lang) AS query_id, lang AS scope, {tok('text')} AS toks FROM benchmark, (SELECT DISTINCT lang FROM documents)") + f" {_SHOW} WHERE rank <= 5",
     "dense_cosine_top10": f"{_cos('true')} {_SHOW} WHERE rank <= 10",
     "dense_restricted_by_label": f"{_cos('ql = dl')} {_SHOW} WHERE rank <= 10",

@@ -12,18 +12,19 @@ from ..operators import align, chunk, dense, fuse, lexgap, metrics
 from ..operators.bm25 import BM25Index
 from ..sources.contracts import COGNITIVE_TYPES
 from ..sources.tables import containing, gold, questions, table, texts
+from ..storage import materialise
 
 # Chunk windows of the queries on documents.
 W, STEP = 150, 75
 
 
 def tok_word_counts(spark: SparkSession, sf: str) -> DataFrame:
-    t = texts(spark, sf).select("text_id", word_tokenize(F.col("body"), is_nfc=True).alias("t"))
+    t = texts(spark, sf).select("text_id", word_tokenize(F.col("body")).alias("t"))
     return t.select(F.col("text_id").alias("doc_id"), F.size("t").alias("n_words"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
 def tok_char_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    t = questions(spark, sf).select("question_id", F.explode(char_ngram_tokenize(F.col("question"), is_nfc=True)).alias("gram"))
+    t = questions(spark, sf).select("question_id", F.explode(char_ngram_tokenize(F.col("question"))).alias("gram"))
     return t.groupBy(F.col("question_id").alias("item_id"), "gram").agg(F.count("*").alias("n"))
 
 
@@ -112,13 +113,13 @@ def squash_hyphens(spark: SparkSession, sf: str) -> DataFrame:
     return questions(spark, sf).select(F.col("question_id").alias("item_id"), squash(F.col("question")).alias("squashed"), squash(F.col("question"), drop_hyphens=True).alias("joined"))
 
 
-def _docs(spark: SparkSession, sf: str, scope=None, grams: bool = False) -> DataFrame:
-    tokens = (char_ngram_tokenize if grams else word_tokenize)(F.col("text"), is_nfc=True)
+def _docs(spark: SparkSession, sf: str, scope=None) -> DataFrame:
+    tokens = word_tokenize(F.col("text"))
     return table(spark, sf, "documents").select(F.lit("*").alias("scope") if scope is None else scope.alias("scope"), "doc_id", F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
 
 
 def _queries(spark: SparkSession, sf: str, grams: bool = False) -> DataFrame:
-    tokens = (char_ngram_tokenize if grams else word_tokenize)(F.col("question"), is_nfc=True)
+    tokens = (char_ngram_tokenize if grams else word_tokenize)(F.col("question"))
     return questions(spark, sf).select(F.col("question_id").alias("query_id"), F.lit("*").alias("scope"), tokens.alias("tokens"))
 
 
@@ -133,7 +134,7 @@ def bm25_open_top5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_char_top5(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(BM25Index(_docs(spark, sf, grams=True)).rank(_queries(spark, sf, True), k=5))
+    return _top(BM25Index(_docs(spark, sf), grams=(3, 5)).rank(_queries(spark, sf, True), k=5))
 
 
 def bm25_full_rank(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,12 +142,11 @@ def bm25_full_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_restricted_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    """Statistics and ranking inside each language; every item asks each. Documents without a shared term have no rank, as in
-    the DuckDB twin."""
+    """Statistics and ranking inside each language; every item asks each."""
     docs = _docs(spark, sf, F.col("lang"))
     q = _queries(spark, sf).drop("scope").crossJoin(table(spark, sf, "documents").select(F.col("lang").alias("scope")).distinct())
     q = q.select(F.concat_ws(":", F.col("query_id").cast("string"), "scope").alias("query_id"), "scope", "tokens")
-    return _top(BM25Index(docs).rank(q, k=5, fill=False))
+    return _top(BM25Index(docs).rank(q, k=5))
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -184,24 +184,27 @@ def weighted_minmax_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return _top(fuse.weighted_minmax_fusion(*_two(spark, sf), alpha=0.3), 10)
 
 
-def _evaluation(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Overlap chunks of all documents ranked for each item that some document holds, with the span there as
-    evidence and the middle third of that document as the distractor."""
+def _evaluation(spark: SparkSession, sf: str) -> tuple[BM25Index, DataFrame, DataFrame, DataFrame]:
+    """An index of overlap chunks of all documents, the items that some document holds as queries, the same as questions
+    with the span there as evidence and the middle third of that document as the distractor, and the chunks."""
     t = texts(spark, sf)
     # read by every statistic of the index and by the metrics
-    chunks = chunk.chunk(t, "overlap").withColumn("tokens", word_tokenize(F.col("chunk_text"), is_nfc=True)).drop("chunk_text").persist()
-    g = gold(spark, sf).persist()
+    chunks = materialise(chunk.chunk(t, "overlap").withColumn("tokens", word_tokenize(F.col("chunk_text"))).drop("chunk_text"))
+    g = materialise(gold(spark, sf))
     span = lambda a, b: F.struct(F.lit("exact").alias("status"), a.alias("start"), b.alias("end"))
     g = g.join(t.select("text_id", F.length("body").alias("n")), "text_id")
-    q = g.select("question_id", "question", "text_id", span(F.col("start"), F.col("end")).alias("critical_span"), span(F.floor(F.col("n") / 3).cast("int"), F.floor(2 * F.col("n") / 3).cast("int")).alias("distractor_span"))
+    q = materialise(g.select("question_id", "question", "text_id", span(F.col("start"), F.col("end")).alias("critical_span"), span(F.floor(F.col("n") / 3).cast("int"), F.floor(2 * F.col("n") / 3).cast("int")).alias("distractor_span")))
     docs = chunks.select(F.lit("*").alias("scope"), F.col("chunk_id").alias("doc_id"), "tokens")
-    asked = q.select(F.col("question_id").alias("query_id"), F.lit("*").alias("scope"), word_tokenize(F.col("question"), is_nfc=True).alias("tokens"))
-    ranked = BM25Index(docs).rank(asked).select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("chunk_id"), "score", "rank")
-    return ranked, q, chunks
+    asked = q.select(F.col("question_id").alias("query_id"), F.lit("*").alias("scope"), word_tokenize(F.col("question")).alias("tokens"))
+    return BM25Index(docs), asked, q, chunks
+
+
+def _ranked(index: BM25Index, asked: DataFrame, k: int) -> DataFrame:
+    return index.rank(asked, k).select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("chunk_id"), "score", "rank")
 
 
 def _metric(spark: SparkSession, sf: str, names: dict[str, str | None]) -> DataFrame:
-    rows = metrics.compute_metrics(*_evaluation(spark, sf))
+    rows = metrics.tidy(metrics.first_ranks_of_scores(*_evaluation(spark, sf)))
     cond = F.lit(False)
     for name, criterion in names.items():
         cond = cond | ((F.col("metric") == name) & (F.lit(True) if criterion is None else F.col("criterion") == criterion))
@@ -231,7 +234,7 @@ def context_tokens_stats(spark: SparkSession, sf: str) -> DataFrame:
 def _lexpairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each item against the first document that holds it."""
     g = gold(spark, sf).join(texts(spark, sf), "text_id")
-    return g.select(F.col("question_id").alias("pair_id"), word_tokenize(F.col("question"), is_nfc=True).alias("q_words"), word_tokenize(F.col("body"), is_nfc=True).alias("s_words"))
+    return g.select(F.col("question_id").alias("pair_id"), word_tokenize(F.col("question")).alias("q_words"), word_tokenize(F.col("body")).alias("s_words"))
 
 
 def jaccard_word(spark: SparkSession, sf: str) -> DataFrame:
