@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,21 @@ def with_bootstrap(df: DataFrame, by: list[str], n_boot: int = 10_000, seed: int
     return table.join(ci, same).select(*[table[c] for c in by], "n", "n_correct", "accuracy", "ci_low", "ci_high")
 
 
+def with_bootstrap_of_counts(df: DataFrame, by: list[str], n_boot: int = 10_000, seed: int = 12_345, alpha: float = 0.05) -> DataFrame:
+    """with_bootstrap() from n and n_correct alone: the mean of n values of 0 and 1 drawn anew is a binomial count over n.
+    So a group's rows are never gathered; its draws are others than those of the rows."""
+    table = accuracy_table(df, by)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            draws = [np.random.default_rng(seed).binomial(int(n), good / n, n_boot) / n for n, good in zip(pdf["n"], pdf["n_correct"].fillna(0), strict=True)]
+            low, high = (np.array([np.quantile(d, q) for d in draws]) for q in (alpha / 2, 1 - alpha / 2))
+            yield pdf.assign(ci_low=low, ci_high=high)
+
+    return table.mapInPandas(run, f"{kinds}, ci_low double, ci_high double")
+
+
 def accuracy_views(df: DataFrame, views: list[list[str]]) -> DataFrame:
     """All groupings in one pass: grouping_id tells a view from a null key."""
     names = list(dict.fromkeys(chain.from_iterable(views)))

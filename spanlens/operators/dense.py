@@ -36,6 +36,25 @@ def cache_key(model: str, prefix: str, ids: list[str], texts: list[str]) -> str:
     return h.hexdigest()
 
 
+def content_key(texts: DataFrame, key: str, text: str, model: str, prefix: str = "") -> str:
+    """As cache_key(), from a table: sums of hashes of its rows, so that no text reaches the driver and order is nothing."""
+    one = F.sha2(F.concat_ws("\0", F.col(key).cast("string"), F.coalesce(F.col(text), F.lit(""))), 256)
+    halves = [F.sum(F.conv(F.substring(one, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"h{i}") for i in range(4)]
+    row = texts.agg(F.count("*").alias("n"), *halves).first()
+    return hashlib.sha256("\0".join([model, prefix, *map(str, row)]).encode()).hexdigest()
+
+
+def cached_embeddings(texts: DataFrame, key: str, text: str, embedder: Callable[[list[str]], np.ndarray], model: str, folder: str, prefix: str = "", batch: int = 64) -> DataFrame:
+    """embed(), kept as a table in folder under a name that changes with model, prefix, keys and texts; where it is there
+    already, the embedder is not called. A table that was not written to its end is made again."""
+    path = f"{folder.rstrip('/')}/{content_key(texts, key, text, model, prefix)}.parquet"
+    spark = texts.sparkSession
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        embed(texts, key, text, embedder, prefix, batch).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 class DenseIndex:
     """chunks: doc_id, embedding, and text_id for rankings inside a text."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import get_tokenizer
+from ..sources.readers import infer_strategy, nested_rankings, rankings_filename
 from .bm25 import BM25Index
 from .dense import DenseIndex
 from .fuse import reciprocal_rank_fusion, weighted_minmax_fusion
@@ -59,3 +60,16 @@ def run_search(questions: DataFrame, chunks: DataFrame, method: str, setting: st
         dense = DenseIndex(chunks.withColumnRenamed("chunk_id", "doc_id")).rank(questions.withColumnRenamed("question_id", "query_id"), restricted=restricted)
     out = sparse if method == "bm25" else dense if method == "dense" else reciprocal_rank_fusion(sparse, dense) if method == "hybrid_rrf" else weighted_minmax_fusion(sparse, dense, alpha)
     return out.select(F.col("query_id").alias("question_id"), F.lit(setting).alias("setting"), F.lit(label).alias("method"), F.lit(mode).alias("query_mode"), F.col("doc_id").alias("chunk_id"), "score", "rank")
+
+
+def run_and_write(questions: DataFrame, chunks: DataFrame, method: str, setting: str, out_dir: str, mode: str = "question_only", **how: object) -> str:
+    """Writes the rankings of run_search() as JSON lines, a line for each question, under out_dir and the name that tells
+    setting, method, strategy (of the chunks' ids, which must have one) and mode; returns the path."""
+    ranked = run_search(questions, chunks, method, setting, mode, **how)
+    strategies = [r["s"] for r in chunks.select(infer_strategy(F.col("chunk_id")).alias("s")).distinct().limit(2).collect()]
+    if len(strategies) != 1:
+        raise ValueError("chunks must be of one strategy")
+    label = method_label(method, how.get("analyzer", "word"), how.get("model"), how.get("alpha", 0.5))
+    path = f"{out_dir.rstrip('/')}/{rankings_filename(setting, label, strategies[0], mode)}"
+    nested_rankings(ranked.withColumn("chunk_strategy", F.lit(strategies[0]))).write.mode("overwrite").json(path)
+    return path

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,23 @@ from ..functions.text import nfc
 from .contracts import COGNITIVE_TYPES, PREDICTION, RAW_QUESTION_KEYS, SchemaError
 
 
+#: Where a data set may lie in a folder, and what it holds.
+SUBFOLDERS, TEXTS, COLLECTION = ("dataset/dataset", "dataset"), "Texts", "KnowledgeBaseAnnot.txt"
+ROOT_VARIABLE = "SPANLENS_DATA_ROOT"
+
+
+def find_data_root(base: str | None = None) -> str:
+    """The first folder that holds texts and a question collection: base or one of its SUBFOLDERS, then the one that
+    ROOT_VARIABLE names, then SUBFOLDERS of this checkout and of the working folder."""
+    given = [Path(base), *[Path(base) / s for s in SUBFOLDERS]] if base else []
+    named = [Path(os.environ[ROOT_VARIABLE])] if os.environ.get(ROOT_VARIABLE) else []
+    around = [top / s for top in (Path(__file__).resolve().parents[2], Path.cwd()) for s in SUBFOLDERS]
+    for folder in (looked := given + named + around):
+        if (folder / TEXTS).is_dir() and (folder / COLLECTION).is_file():
+            return str(folder)
+    raise FileNotFoundError(f"no folder with {TEXTS} and {COLLECTION} among " + ", ".join(map(str, looked)))
+
+
 def read_texts(spark: SparkSession, folder: str, author_optional: bool = False) -> DataFrame:
     """text_id, title, author, body of text files: the first line is the title, the second the author, the rest the body,
     each in NFC; the body keeps its white space. With author_optional a file of two parts only has no author."""
@@ -67,6 +86,39 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True)
     return spark.read.schema(f"{schema}, _corrupt string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").select("*", F.col("_metadata.file_path").alias("_file"))
 
 
+def jsonl_errors(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and message of each line of JSON-lines files that isn't an object; blank lines are none. A
+    file is read as one row, as only so its lines have numbers."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "text"))
+    value = F.try_parse_json("text")
+    message = F.when(value.isNull(), "malformed JSON").when(~F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), "not an object")
+    return raw.where(F.rlike("text", F.lit(r"\S"))).select("file", (F.col("at") + 1).alias("line"), message.alias("message")).where("message is not null")
+
+
+def read_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """read_jsonl(), after a look at every line: the first that is no object is an error with its file and number."""
+    if bad := jsonl_errors(spark, path).orderBy("file", "line").first():
+        raise SchemaError(f"{bad['file']}:{bad['line']}: {bad['message']}")
+    return read_jsonl(spark, path, schema)
+
+
+def last_by_id(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Of rows with one key the last, as where later lines of a file overwrite earlier ones."""
+    rest = F.struct(*[F.col(c) for c in df.columns])
+    return df.groupBy(key).agg(F.max_by(rest, F.struct(*order)).alias("_row")).select("_row.*")
+
+
+def sidecar_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """key (config_id) and message of runs without a sidecar, or with one that is no JSON object."""
+    files = spark.read.text(folder, recursiveFileLookup=True, pathGlobFilter="*.json*", wholetext=True).select(F.col("_metadata.file_path").alias("path"))
+    sides = spark.read.text(folder, recursiveFileLookup=True, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").where(F.contains("path", F.lit(".config.json")))
+    runs = files.select(F.regexp_extract("path", r"preds_([^/]+?)\.jsonl", 1).alias("key")).where("key <> ''").distinct()
+    value = F.try_parse_json("value")
+    good = F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
+    known = sides.select(F.regexp_extract("path", r"preds_([^/]+?)\.config\.json", 1).alias("key"), good.alias("good")).groupBy("key").agg(F.max("good").alias("good"))
+    return runs.join(known, "key", "left").where("good is null or not good").select("key", F.when(F.col("good").isNull(), "no sidecar").otherwise("sidecar is no object").alias("message"))
+
+
 def read_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """All runs of a folder in one scan; config_id comes from the file's (or its folder's) name."""
     path = F.col("_metadata.file_path")
