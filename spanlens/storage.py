@@ -66,9 +66,9 @@ def _delete_all() -> None:
             _delete(spark, at)
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df, a written table of few and short columns, to be broadcast if its rows are few enough."""
-    if df.count() > rows:
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, a written table of few and short columns, to be broadcast if its rows are few enough (SMALL_ROWS)."""
+    if df.count() > (SMALL_ROWS if rows is None else rows):
         return df
     out = F.broadcast(df)
     out.written_to = getattr(df, "written_to", "")
