@@ -8,26 +8,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanlens.llm import decontam, neardup, packing, secretscan, toxicity
-from spanlens.llm.common import materialise, table
+from spanlens.llm.common import discard, materialise, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of docs that the classifier, fitted to the labels that docs still has texts for, doesn't call toxic. Null and empty texts stay."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked at a similarity of 0.8 or more; rows without doc_id or words stay."""
     return neardup.keep_one(docs, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of docs in which no window of the benchmark stands; null and empty texts stay."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows of docs, with secrets blanked and n_chars counted anew; a null text becomes empty."""
     return secretscan.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences that hold every id of all rows of docs; a null or empty text has its end id."""
     return packing.pack_documents(docs)
 
 
@@ -44,8 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written as Parquet to the shared folder and read again by the next."""
+    """All stages on documents, each written as Parquet to the shared folder and read again by the next; what a stage has
+    read is then deleted. Empty documents give an empty result; repeated rows pass through as repeated rows."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        discard(before)
     return docs
