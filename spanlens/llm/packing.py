@@ -147,7 +147,8 @@ def document_parts(text: str = "text") -> Column:
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, max_tokens: int = 1024, max_segments: int = 256) -> DataFrame:
-    """Documents (doc_id, text) of which every id bears loss."""
+    """Documents (doc_id, text) of which every id bears loss, so that the limit on these is that on tokens. A null text is
+    empty and has its end id only; repeated rows are packed each; other columns are not read."""
     return pack(docs, "doc_id", document_parts(), path, max_tokens, max_segments, max_tokens)
 
 

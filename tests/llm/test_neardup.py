@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from spanlens.llm import common, neardup, toxicity
+from spanlens.llm import neardup, toxicity
 from spanlens.llm.components import components
 from spanlens.llm.shingles import Numbered, circulant, linked, shingle_sets, words_of
 
@@ -68,7 +68,7 @@ def test_blocks_and_low_thresholds(spark, monkeypatch):
     monkeypatch.setattr(neardup, "_BLOCK", 3)
     monkeypatch.setattr(neardup, "_STAR", 2)
     monkeypatch.setattr(neardup, "_NUMBERED", 50)
-    monkeypatch.setattr(common, "SMALL_ROWS", 0)
+    monkeypatch.setattr("spanlens.storage.SMALL_ROWS", 0)
     rows = corpus(5)
     assert run(spark, rows, percent=70, rows=3, bands=40) == brute(rows, 70)
 

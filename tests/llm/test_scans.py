@@ -140,7 +140,7 @@ def test_columns_of_internal_names_pass_through_redaction(spark):
 def test_candidates_by_shuffle(spark, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "doc_id long, text string")
     few = sorted(map(tuple, secretscan.report(df).collect()))
-    monkeypatch.setattr("spanlens.llm.common.SMALL_ROWS", -1)
+    monkeypatch.setattr("spanlens.storage.SMALL_ROWS", -1)
     assert sorted(map(tuple, secretscan.report(df).collect())) == few
 
 
