@@ -197,3 +197,62 @@ def test_scores_do_not_depend_on_the_batch():
     model = toxicity.fit([(t.encode(), y) for (_, t), (_, y) in zip(rows, labels, strict=True)], steps=40)
     texts = [t.encode() for _, t in rows[:20]] + [b"", b"vile"]
     assert model.scores(texts) == pytest.approx(np.concatenate([model.scores([t]) for t in texts]), abs=1e-5)
+
+
+def small_model(seed=3):
+    rng = np.random.default_rng(seed)
+    n = toxicity.FILTERS * len(toxicity.WIDTHS)
+    filters = [rng.standard_normal((w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS]
+    return toxicity.Model(rng.standard_normal((1 << toxicity.BITS, toxicity.DIM)), filters, rng.standard_normal(n) * 0.1, rng.standard_normal(n), 0.2, np.zeros(4))
+
+
+TOXIC_TEXTS = [b"one two three four", b"a", b"", b"vile words here are vile", b"x y", b"two three"]
+
+
+def plain_logit(model, words):
+    """The classifier's logit by loops over filters and windows."""
+    emb = [model.table[r].sum(axis=0) for r in words]
+    out = model.out_bias
+    for i, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            c = i * toxicity.FILTERS + f
+            acts = [sum(float(emb[p + j] @ model.filters[i][j][:, f]) for j in range(width)) + model.bias[c] for p in range(len(words) - width + 1)]
+            out += max([0.0, *acts]) * model.out[c]
+    return out
+
+
+def test_classifier_matches_loops():
+    model = small_model()
+    ids, starts, _ = toxicity.word_ids(TOXIC_TEXTS)
+    want = [plain_logit(model, ids[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    assert model.logits(ids, starts) == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_gradients_match_differences():
+    model, y = small_model(), np.array([1, 0, 0, 1, 0, 1], float)
+    ids, starts, _ = toxicity.word_ids(TOXIC_TEXTS)
+
+    def loss():
+        z = np.array([plain_logit(model, ids[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)])
+        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+    grads, by_bias, which, by_table = model.gradients(ids, starts, y)
+    rng = np.random.default_rng(1)
+    pairs = list(zip([*model.filters, model.bias, model.out], grads, strict=True))
+    for array, grad in [*pairs, (model.table, None)]:
+        for _ in range(4):
+            at = tuple(int(rng.integers(n)) for n in array.shape)
+            if grad is None:
+                k = int(rng.integers(len(which)))
+                at = (int(which[k]), at[1])
+            had, e = array[at], 1e-5
+            array[at] = had + e
+            up = loss()
+            array[at] = had - e
+            down = loss()
+            array[at] = had
+            assert (up - down) / (2 * e) == pytest.approx(float(grad[at] if grad is not None else by_table[k, at[1]]), rel=1e-3, abs=1e-5)
+    had, model.out_bias = model.out_bias, model.out_bias + 1e-5
+    up = loss()
+    model.out_bias = had - 1e-5
+    assert (up - loss()) / 2e-5 == pytest.approx(by_bias, rel=1e-3, abs=1e-6)
