@@ -3,7 +3,7 @@
 Documents with equal words form a class, represented by its least doc_id, so copies are never compared. Representatives
 that share a band's key are candidates. First each is compared with the pivot of its band, the member that meets most
 others in all its bands: this links most groups with one comparison a member. Then only bands whose members are still in
-different components are looked at again: their signatures meet in blocks, and every pair of different components in
+different components are looked at again: their members meet in blocks, and every pair of different components in
 them is decided. A link of the least similarity shares no band with probability (1 - s**rows)**bands, 1e-7 for the
 parameters here; every reported link is verified on words. With exact, candidates share a rare shingle instead (the prefix
 that a link can't avoid), which misses no link, at a higher cost.
@@ -28,6 +28,8 @@ ROWS, BANDS, PERCENT = 5, 40, 80
 _BATCH = 2 << 20
 #: Members of a band that meet in one task, and members that are compared with one copy of their pivot.
 _BLOCK, _STAR = 1024, 256
+#: Shingles of the members of a block, about.
+_BLOCK_SHINGLES = 1 << 19
 _NUMBERED = 2_000_000
 
 
@@ -115,51 +117,78 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
 
-def _candidates(members: DataFrame, percent: int, coordinates: int | None) -> DataFrame:
-    """u, v and agree (equal coordinates of their signatures) of members of one key with different labels that may be
-    links; members: key, blocks, doc_id, label, n_shingles, sig.
+def _shingles_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and set (sorted 64-bit hashes) of the documents that ids names."""
 
-    Blocks of a key meet in pairs, so no task holds more than two. A pair is left out if its sizes exclude a link,
-    or if signatures of so many coordinates agree in fewer than five and a bit deviations below percent would.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_bytes(rows_of(batches), _BATCH, lambda r: len(r[1]) + 64):
+            sets = shingle_sets([words_of(t) for _, t in group])
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in group], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "set"])
+
+    return texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
+
+
+def _across(members: DataFrame, percent: int, coordinates: int | None) -> DataFrame:
+    """u and v of members of one key with different labels whose hashed sets are linked, as many as tie their labels
+    together; members: key, blocks, doc_id, label, n_shingles, bands, sig, set.
+
+    Blocks of a key meet in pairs, so no task holds more than two. A pair is left out if its sizes exclude a link, or if
+    signatures of so many coordinates agree in fewer than five and a bit deviations below percent would; the sets of
+    other pairs are compared, each pair in the first band that it shares.
     """
     k = F.col("blocks")
     own = (F.pmod(F.xxhash64("doc_id"), k)).cast("int")
     split = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (k - 1).cast("int"))))
-    split = split.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label", "n_shingles", "sig")
+    split = split.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label", "n_shingles", "sig", "set", "bands")
     p = percent / 100
     least = 0 if coordinates is None else int(coordinates * (p - 5.2 * sqrt(p * (1 - p) / coordinates)))
 
-    def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
         rows.sort(key=lambda r: (r[6], r[4]))
-        i, j = rows[0][1:3]
+        key, i, j = rows[0][:3]
         own, doc, label, n = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5, 6))
         sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint32).reshape(len(rows), -1)
+        sets = [np.frombuffer(r[8], np.uint64) for r in rows]
+        keys = np.array([r[9] for r in rows], np.int64) if coordinates is not None else None
+        first = np.argmax(keys == key, axis=1) if coordinates is not None else None
+        root = {x: x for x in label.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
         last = np.searchsorted(n, n * 100 // percent, "right")  # sizes ascend: larger ones can't be links
         for a in range(len(rows)):
             b = np.arange(a + 1, last[a])
             b = b[(label[b] != label[a]) & (doc[b] != doc[a]) & ((own[b] != own[a]) | (i == j))]
             if len(b):
-                agree = (sig[b] == sig[a]).sum(axis=1)
-                b, agree = b[agree >= least], agree[agree >= least]
-                if len(b):
-                    u, v = np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(agree.astype(np.int64))], names=["u", "v", "agree"])
+                b = b[(sig[b] == sig[a]).sum(axis=1) >= least]
+            if len(b) and keys is not None:
+                b = b[np.argmax(keys[b] == keys[a], axis=1) == first[a]]
+            for x in b.tolist():
+                u, v = find(int(label[a])), find(int(label[x]))
+                if u != v and linked(sets[a], sets[x], percent):
+                    root[u] = v
+                    out.append((int(doc[a]), int(doc[x])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for row in rows_of(batches, -1):
             if group and row[:3] != group[0][:3]:
-                yield from compare(group)
+                yield _pairs(compare(group))
                 group = []
             group.append(row)
         if group:
-            yield from compare(group)
+            yield _pairs(compare(group))
 
-    return split.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long, agree long")
+    return split.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
 
 
 def prefix_keys(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """doc_id and key: of each representative's n shingles the n - ceil(percent n / 100) + 1 that fewest have. Two sets
+    """doc_id, n_shingles and key: of each representative's n shingles the n - ceil(percent n / 100) + 1 that fewest have. Two sets
     that are linked share one of these, whatever the data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +203,7 @@ def prefix_keys(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     counts = long.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     by = long.join(counts, "key", "left").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key"))).alias("s"))
     kept = F.size("s") - F.ceil(F.size("s") * percent / 100).cast("int") + 1
-    out = materialise(by.select("doc_id", F.explode(F.slice("s", F.lit(1), kept)).alias("k")).where("k.n > 1").select("doc_id", "k.key"))
+    out = materialise(by.select("doc_id", F.size("s").cast("long").alias("n_shingles"), F.explode(F.slice("s", F.lit(1), kept)).alias("k")).where("k.n > 1").select("doc_id", "n_shingles", "k.key"))
     discard(ids, long)
     return out
 
@@ -201,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, b
     classed = full.join(copies, "copy", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(same, F.col("rep") == F.col("of"), "left").withColumn("class_id", F.coalesce("least", "rep")).drop("of", "least", "rep")
     reps = classed.where("class_id = doc_id")
     # candidates and their pivots
-    keys = materialise(prefix_keys(docs, reps, percent) if exact else reps.select("doc_id", F.explode("bands").alias("key")))
+    keys = prefix_keys(docs, reps, percent) if exact else materialise(reps.select("doc_id", "n_shingles", F.explode("bands").alias("key")))
     buckets = small(materialise(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")))
     shared = materialise(keys.join(buckets, "key"))
     scores = shared.groupBy("doc_id").agg(F.sum("n").alias("score"))
@@ -209,32 +238,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, b
     links = verified(shared.join(pivots, "key").where("doc_id <> u").select("u", F.col("doc_id").alias("v")), docs, percent)
     label = small(components(links))
     # bands that still hold different components
-    labelled = shared.where("n > 2").join(label, F.col("doc_id") == F.col("node"), "left").select("key", "n", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    mixed = small(materialise(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")))
-    members = labelled.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / _BLOCK)).join(reps.select("doc_id", "n_shingles", "sig"), "doc_id")
-    found = materialise(_candidates(members, percent, None if exact else rows * bands).distinct()) if not mixed.isEmpty() else links.withColumn("agree", F.lit(0).cast("long")).limit(0)
-    labels = [label.select(F.col("node").alias(f"node_{x}"), F.col("component").alias(f"label_{x}")) for x in "uv"]
-    named = found.join(labels[0], F.col("u") == F.col("node_u"), "left").join(labels[1], F.col("v") == F.col("node_v"), "left")
-    named = named.select("u", "v", "agree", F.coalesce("label_u", "u").alias("a"), F.coalesce("label_v", "v").alias("b"))
-    # of each two components the likeliest pair first; then all pairs of components that are still apart
-    best = named.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max_by(F.struct("u", "v"), F.struct("agree", "u", "v")).alias("p")).select("p.u", "p.v")
-    likely = verified(best, docs, percent) if not mixed.isEmpty() else links.limit(0)
+    labelled = shared.where("n > 2").join(label, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("label"))
+    blocks = F.greatest(F.ceil(F.count("*") / _BLOCK), F.ceil(F.sum("n_shingles") / _BLOCK_SHINGLES))
+    mixed = small(materialise(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks.alias("blocks")).where("low < high").select("key", "blocks")))
+    members = more = None
+    if not mixed.isEmpty():
+        members = materialise(labelled.join(mixed, "key").select("key", "blocks", "doc_id", "label"))
+        own = _shingles_of(docs, small(materialise(members.select("doc_id").distinct()))).join(reps.select(F.col("doc_id").alias("of"), "n_shingles", "bands", "sig"), F.col("doc_id") == F.col("of")).drop("of")
+        more = verified(_across(members.join(own, "doc_id"), percent, None if exact else rows * bands), docs, percent)
     # rows of one doc_id tie the classes that they are in together
     twice = small(materialise(full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")))
     tied = materialise(classed.join(twice, "doc_id", "left_semi").select(F.col("class_id").alias("u"), F.col("doc_id").alias("v")).where("u <> v").distinct())
-    final = small(components(links.union(likely).union(tied)))
-    now = [final.select(F.col("node").alias(f"node_{x}"), F.col("component").alias(f"now_{x}")) for x in "uv"]
-    apart = found.join(now[0], F.col("u") == F.col("node_u"), "left").join(now[1], F.col("v") == F.col("node_v"), "left").where(F.coalesce("now_u", "u") != F.coalesce("now_v", "v"))
-    last = verified(apart.select("u", "v"), docs, percent) if not mixed.isEmpty() else None
-    if last is not None and not last.isEmpty():
-        before, final = final, small(components(links.union(likely).union(tied).union(last)))
-        discard(before)
+    final = small(components(links.union(tied) if more is None else links.union(more).union(tied)))
     out = sig.join(copies, "copy", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     out = out.join(same, F.col("rep") == F.col("of"), "left").withColumn("class_id", F.coalesce("least", "rep"))
     out = out.join(final, F.col("class_id") == F.col("node"), "left")
     component = F.coalesce("component", "class_id")
     out = materialise(out.select("doc_id", "n_shingles", "class_id", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
-    discard(sig, lists, copies, firsts, equal, same, keys, buckets, shared, pivots, links, label, mixed, found, likely, twice, tied, final, last)
+    discard(sig, lists, copies, firsts, equal, same, keys, buckets, shared, pivots, links, label, mixed, members, more, twice, tied, final)
     return out
 
 
