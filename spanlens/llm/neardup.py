@@ -25,12 +25,12 @@ from .components import components
 from .shingles import Numbered, band_keys, circulant, copy_digest, linked, shingle_sets, words_of
 
 ROWS, BANDS, PERCENT = 5, 40, 80
-_BATCH = 2 << 20
+_BATCH = 1 << 20
 #: Members of a band that meet in one task, and members that are compared with one copy of their pivot.
 _BLOCK, _STAR = 1024, 256
 #: Shingles of the members of a block, about.
 _BLOCK_SHINGLES = 1 << 19
-_NUMBERED = 2_000_000
+_NUMBERED = 200_000
 
 
 def _set_hashes(shingles: np.ndarray) -> tuple[int, int]:

@@ -14,7 +14,7 @@ from .common import mix
 WORDS = 5
 _FACTORS = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _BLOCK = 4096
-_HELD = 16 << 20
+_HELD = 8 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
