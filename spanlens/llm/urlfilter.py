@@ -11,6 +11,8 @@ from .common import discard, lower_ascii, materialise
 
 SMALL_ROWS = 200_000
 TOLERANCE, LIMIT = 1e-9, 1000
+#: Rounds of a job.
+_ROUNDS = 4
 
 
 @dataclass(frozen=True)
@@ -68,24 +70,37 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     keeps none of it. Nodes out of reach have no row. A very popular node is an aggregate, so it is never gathered.
     Without rounds, ranks are passed on until no node is new and none changes by more than TOLERANCE of itself; so small
     ranks, far from the seeds, are as exact as large ones.
+
+    A node's links to itself are solved for, not passed on round by round: what it keeps of its rank in all rounds is a
+    geometric series. Some rounds make one job.
     """
     total = seeds.agg(F.sum("seed").alias("s")).first()["s"]
     if not total:
         return seeds.select("node", F.lit(0.0).alias("rank")).limit(0)
-    start = materialise(seeds.select("node", (F.col("seed") / F.lit(total)).alias("seed")).where("seed > 0"))
     out = links.groupBy("src").agg(F.sum("n").alias("all"))
-    share = materialise(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")))
-    rank = start.select("node", F.col("seed").alias("rank"))
+    every = links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share"))
+    # 1 / (1 - damping * share of links to itself)
+    loops = materialise(every.where("src = dst").select(F.col("src").alias("loop"), (F.lit(1.0) / (F.lit(1.0) - F.lit(damping) * F.col("share"))).alias("factor")))
+    factor = F.coalesce("factor", F.lit(1.0))
+    start = materialise(seeds.where("seed > 0").join(loops, F.col("node") == F.col("loop"), "left").select("node", (F.col("seed") / F.lit(total)).alias("seed"), factor.alias("factor")))
+    share = materialise(every.where("src <> dst").join(loops, F.col("dst") == F.col("loop"), "left").select("src", "dst", (F.col("share") * factor * F.lit(damping)).alias("share")))
+    base = start.select("node", (F.col("seed") * (1 - damping) * F.col("factor")).alias("rank"))
     if share.isEmpty():
-        return rank.select("node", (F.col("rank") * (1 - damping)).alias("rank"))
-    after = None
-    for _ in range(LIMIT if rounds is None else rounds):
-        passed = rank.join(share, rank["node"] == share["src"]).select(F.col("dst").alias("node"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        dealt = passed.union(start.select("node", (F.col("seed") * (1 - damping)).alias("rank"))).withColumn("was", F.lit(None).cast("double"))
+        return base
+    rank = start.select("node", F.col("seed").alias("rank"))
+
+    def dealt(ranks: DataFrame) -> DataFrame:
+        return ranks.join(share, ranks["node"] == share["src"]).select(F.col("dst").alias("node"), (F.col("rank") * F.col("share")).alias("rank")).union(base)
+
+    after, done, most = None, 0, LIMIT if rounds is None else rounds
+    while done < most:
+        n = min(_ROUNDS, most - done)
+        for _ in range(n - 1):
+            rank = dealt(rank).groupBy("node").agg(F.sum("rank").alias("rank"))
         held = rank.select("node", F.lit(None).cast("double").alias("rank"), F.col("rank").alias("was"))
-        before, after = after, materialise(dealt.union(held).groupBy("node").agg(F.sum("rank").alias("rank"), F.max("was").alias("was")))
+        before, after = after, materialise(dealt(rank).withColumn("was", F.lit(None).cast("double")).union(held).groupBy("node").agg(F.sum("rank").alias("rank"), F.max("was").alias("was")))
         discard(before)
-        rank = after.select("node", "rank")
+        rank, done = after.select("node", "rank"), done + n
         if rounds is None and after.where(F.col("was").isNull() | (F.abs(F.col("rank") - F.col("was")) > TOLERANCE * F.col("rank"))).isEmpty():
             break
     else:
