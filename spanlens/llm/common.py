@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,12 +116,31 @@ def joined(texts_: list[bytes], gap: bytes = b"\n") -> tuple[np.ndarray, np.ndar
     return np.frombuffer(gap.join([*texts_, b""]), np.uint8), starts
 
 
+@lru_cache(maxsize=1)
+def _trimmer():
+    """glibc's malloc_trim, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Gives memory that is free in this worker back, which workers that live on would keep."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if _trimmer():
+        _trimmer()(0)
+
+
 def rows_of(batches: Iterator, text: int = 1) -> Iterator[tuple]:
     """The rows of Arrow batches, with the column text as bytes; some become Python objects at once."""
     for batch in batches:
+        trim()
         for i in range(0, batch.num_rows, 100):
             part = batch.slice(i, 100)
             yield from zip(*[(c.cast("binary") if j == text else c).to_pylist() for j, c in enumerate(part.columns)], strict=True)
+        part = None
+        del batch
+    trim()
 
 
 def by_bytes(rows: Iterator[tuple], limit: int, size) -> Iterator[list[tuple]]:

@@ -105,6 +105,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             if len(good) >= 10_000:
                 yield _pairs(good)
                 good = []
+        del heads, sets, numbered
         yield _pairs(good)
 
     met = heads.union(tails).repartition("u", "block").sortWithinPartitions("u", "block", "role")

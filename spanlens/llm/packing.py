@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import trim
 from .tokens import default_path, encoder
 
 END = 0
@@ -124,6 +125,7 @@ def pack(rows: DataFrame, key: str, parts: Column, path: str | None = None, max_
                 packer.made += 1
 
         for batch in batches:
+            trim()
             for doc, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, loss, bears = [], [], False
                 for part in row or ():
