@@ -83,6 +83,16 @@ def _substring_hashes(data: np.ndarray, k: int, block: int = 1 << 18) -> np.ndar
     return out
 
 
+def _least_of_rows(windows: np.ndarray, k: int) -> np.ndarray:
+    """The upper half of the hash of the least k-byte substring of each row, some rows at once."""
+    out = np.empty(len(windows), np.uint32)
+    for i in range(0, len(windows), _ROWS):
+        flat = np.append(windows[i : i + _ROWS].reshape(-1), np.zeros(k - 1, np.uint8))
+        h = _substring_hashes(flat, k).reshape(-1, windows.shape[1])
+        out[i : i + _ROWS] = h[:, : windows.shape[1] - k + 1].min(axis=1) >> np.uint64(32)
+    return out
+
+
 def _sorted_span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 20_000) -> np.ndarray:
     """span_hashes() of spans in order of their starts, some at once."""
     out = np.empty(len(start), np.uint64)
@@ -178,10 +188,9 @@ def _dealt(docs: DataFrame, buckets: int, homes: int, length: int, k: int) -> Da
             for b, one in own.items():
                 t = twins.get(b, t_by[:0])
                 here = np.unique(np.concatenate((row[one], row[same[t]])))
-                short = (least[one] // np.uint64(buckets)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
                 used = ctx[one][np.arange(width)[None, :] < (count[one] + (length - 1))[:, None]]
                 steps = np.diff(np.searchsorted(here, row[one]), prepend=0).astype(np.int32), np.diff(where[one], prepend=0).astype(np.int32)
-                blobs.append((b, "context", _packed(np.diff(ids[here], prepend=0), ties[here], *steps, count[one].astype(np.uint8), short.copy(), used, place[of[t]].astype(np.int32), np.searchsorted(here, row[same[t]]).astype(np.int32), where[same[t]].astype(np.int32), level=_LEVEL)))
+                blobs.append((b, "context", _packed(np.diff(ids[here], prepend=0), ties[here], *steps, count[one].astype(np.uint8), used, place[of[t]].astype(np.int32), np.searchsorted(here, row[same[t]]).astype(np.int32), where[same[t]].astype(np.int32), level=_LEVEL)))
             if len(done):
                 h = _home(ids[row[done]], ties[row[done]], homes)
                 sorted_ = np.lexsort((where[done], row[done], h))
@@ -199,13 +208,11 @@ def _spans_of_bucket(blobs: list[bytes], length: int, k: int) -> tuple[np.ndarra
     twins: list[list[np.ndarray]] = [[] for _ in range(3)]
     total = 0
     while blobs:  # each is dropped once it is unpacked
-        ids, ties, row, step, count, low, used, of, row2, where2 = _unpacked(blobs.pop())
-        ids, row, count, low = np.cumsum(ids), np.cumsum(row), count.astype(np.int64), low.reshape(-1, 3)
-        short = np.zeros((len(low), 4), np.uint8)
-        short[:, :3] = low
-        short = short.view("<u4").reshape(-1)
+        ids, ties, row, step, count, used, of, row2, where2 = _unpacked(blobs.pop())
+        ids, row, count = np.cumsum(ids), np.cumsum(row), count.astype(np.int64)
         ctx = np.zeros((len(row), 2 * length - k), np.uint8)
         ctx[np.arange(ctx.shape[1])[None, :] < (count + (length - 1))[:, None]] = used
+        short = _least_of_rows(ctx[:, :length], k)
         for c, a in zip(cols, (ids[row], ties[row], np.cumsum(step, dtype=np.int64), count, short, ctx), strict=False):
             c.append(a)
         for c, a in zip(twins, (of.astype(np.int64) + total, ties[row2], where2.astype(np.int64)), strict=True):
