@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 # Python's [^\W\d_]: letters, and numbers that are not decimal digits.
 _LETTER = r"[\p{L}\p{Nl}\p{No}]"
 #: A word keeps an apostrophe only before another letter; digits make words of their own.
-WORD = rf"{_LETTER}+'(?={_LETTER})|{_LETTER}+|\p{{Nd}}+"
+WORD = rf"{_LETTER}++(?:'(?={_LETTER}))?+|\p{{Nd}}++"
 TAG = "<[A-Z][A-Z0-9-]*>"
 #: Fixed order of tag categories; others follow, sorted.
 TAG_CATEGORIES = ("LEX", "SYN", "MORPH", "ORTHO", "DISC")
@@ -31,7 +31,8 @@ def _maybe_not_nfc() -> str:
             runs[-1][1] = c
         else:
             runs.append([c, c])
-    return r"[\p{M}\x{1161}-\x{1175}\x{11A8}-\x{11C2}" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]"
+    # nothing below U+0300 is among them, which is told at once
+    return r"[\x{300}-\x{10FFFF}&&[\p{M}\x{1161}-\x{1175}\x{11A8}-\x{11C2}" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]]"
 
 
 @F.pandas_udf(T.StringType())
@@ -46,7 +47,7 @@ def nfc(c: Column) -> Column:
 
 def normalize(c: Column, is_nfc: bool = False) -> Column:
     """NFC (skipped where the caller knows that it holds), the curly apostrophe made straight, lower case."""
-    return F.lower(F.regexp_replace(c if is_nfc else nfc(c), "’", "'"))
+    return F.lower(F.replace(c if is_nfc else nfc(c), F.lit("’"), F.lit("'")))
 
 
 def word_tokenize(c: Column, stopwords: Sequence[str] = (), is_nfc: bool = False) -> Column:

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import n_word_ngrams, word_ngrams
 from ..storage import materialise, small
+from .bm25search import Search
 
 K1, B = 1.5, 0.75
+#: Up to so many rows of queries' terms are held by each worker, and texts meet them where they lie; with more, postings are joined by shuffle.
+ASKED_ROWS = 200_000
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -26,16 +29,35 @@ class BM25Index:
     """docs: scope, doc_id, tokens. Empty documents count in the number of documents and the mean length.
 
     With grams, tokens are words, and terms are their character n-grams of grams[0] to grams[1] letters. These are made
-    once for each distinct word, not for each place where it stands.
+    once for each distinct word, not for each place where it stands. keep: further columns of docs that search().table has.
     """
 
-    def __init__(self, docs: DataFrame, k1: float = K1, b: float = B, grams: tuple[int, int] | None = None):
+    def __init__(self, docs: DataFrame, k1: float = K1, b: float = B, grams: tuple[int, int] | None = None, keep: tuple[str, ...] = ()):
+        self.all, self.keep = docs, keep
         self.docs, self.k1, self.b, self.grams = docs.select("scope", "doc_id", "tokens"), k1, b, grams
         length = F.size("tokens") if grams is None else F.aggregate("tokens", F.lit(0), lambda n, w: n + n_word_ngrams(F.length(w), *grams))
-        self.sized = self.docs.select("scope", "doc_id", length.alias("dl"), "tokens")
+        self.length = length.alias("dl")
+        self.sized = self.docs.select("scope", "doc_id", self.length, "tokens")
         self.lengths = self.sized.select("scope", "doc_id", "dl")
+        self.searched: list[tuple[DataFrame, DataFrame, Search | None]] = []
         self.scopes = self.lengths.groupBy("scope").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
+    def _wanted(self, queries: DataFrame) -> tuple[DataFrame, Search | None]:
+        for known, wanted, search in self.searched:
+            if known is queries:
+                return wanted, search
+        # a query without tokens has a row too
+        wanted = materialise(queries.select("query_id", "scope", F.explode_outer("tokens").alias("term")).groupBy("query_id", "scope", "term").agg(F.count("*").alias("qtf")))
+        search = None
+        if wanted.count() <= ASKED_ROWS:
+            search = Search(self.all.select("scope", "doc_id", self.length, "tokens", *self.keep), wanted, self.k1, self.b, self.grams)
+        self.searched.append((queries, wanted, search))
+        return wanted, search
+
+    def search(self, queries: DataFrame) -> Search | None:
+        """The index of these queries' terms, written once for each DataFrame of queries; None if they are too many to be held."""
+        return self._wanted(queries)[1]
+
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
         """scope, doc_id, dl, term, tf; only of terms (scope, term), if given: nothing else of the corpus is shuffled."""
         key = ["scope", "doc_id", "dl"]
@@ -59,7 +81,9 @@ class BM25Index:
 
         Postings of the queries' terms are written once, as document frequencies and scores both read them.
         """
-        wanted = materialise(queries.select("query_id", "scope", F.explode("tokens").alias("term")).groupBy("query_id", "scope", "term").agg(F.count("*").alias("qtf")))
+        wanted, search = self._wanted(queries)
+        if search:
+            return search.scores().groupBy("query_id", "scope", "doc_id").agg(F.max("score").alias("score"))
         terms = small(materialise(wanted.select("scope", "term").distinct()))
         scopes = small(materialise(self.scopes))
         postings = materialise(self.postings(terms))
@@ -78,17 +102,20 @@ class BM25Index:
         """
         if k is not None and k <= 0:
             raise ValueError("k must be at least 1")
-        scored = self.score(queries) if scored is None else scored
+        search = self.search(queries) if scored is None else None
+        if scored is None:
+            scored = self.score(queries) if search is None or k is None else search.top(k)
+        listed = search.table if search else self.docs
         order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("doc_id"))
         if k is not None:
             top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
             if not fill:
-                return top
+                return top if search is None else top.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
             place = F.row_number().over(Window.partitionBy("scope").orderBy("doc_id"))
-            least = self.docs.select("scope", "doc_id", place.alias("place")).where(F.col("place") <= k).drop("place")
+            least = listed.select("scope", "doc_id", place.alias("place")).where(F.col("place") <= k).drop("place")
             zeros = queries.select("query_id", "scope").join(least, "scope").select("query_id", "doc_id", F.lit(0.0).alias("score"))
             filled = top.drop("rank").union(zeros).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
             return filled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        every = queries.select("query_id", "scope").join(self.lengths.select("scope", "doc_id"), "scope")
+        every = queries.select("query_id", "scope").join(listed.select("scope", "doc_id"), "scope")
         full = every.join(scored, ["query_id", "scope", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         return full.withColumn("rank", F.row_number().over(order)).select("query_id", "doc_id", "score", "rank")

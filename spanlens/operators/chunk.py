@@ -109,9 +109,9 @@ def overlap_spans(body: Column, window: int = WINDOW, overlap: float = OVERLAP)
             start = at + F.when(i == 0, F.lit(0)).otherwise(F.length(joined) - F.length(text))
             end = F.when(i == count - 1, F.length(body)).otherwise(at + F.length(joined))
             tail = F.when(i == count - 1, F.regexp_extract(body, r"(?U)\s*\z", 0)).otherwise("")
-            return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.concat(text, tail).alias("text"))
+            return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.concat(text, tail).alias("text"), F.least(F.lit(window), n - i * step).alias("n"))
 
-        return F.when(n == 0, F.array().cast("array<struct<start:int,end:int,text:string>>")).otherwise(F.transform(running(strides), one))
+        return F.when(n == 0, F.array().cast("array<struct<start:int,end:int,text:string,n:int>>")).otherwise(F.transform(running(strides), one))
 
     return let(token_pieces(body), of)
 
@@ -124,8 +124,10 @@ def chunk(texts: DataFrame, strategy: str, **how: object) -> DataFrame:
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy!r}")
     rows = texts.select("text_id", F.posexplode(STRATEGIES[strategy](F.col("body"), **how)).alias("idx", "s"))
+    # windows know their tokens
+    n = F.col("s.n") if strategy == "overlap" else n_tokens(F.col("s.text"))
     name = F.format_string(f"%s_{strategy}_c%03d", F.col("text_id").cast("string"), "idx")
-    return rows.select(name.alias("chunk_id"), "text_id", "idx", F.col("s.text").alias("chunk_text"), F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"), n_tokens(F.col("s.text")).alias("n_tokens"))
+    return rows.select(name.alias("chunk_id"), "text_id", "idx", F.col("s.text").alias("chunk_text"), F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"), n.alias("n_tokens"))
 
 
 def coverage(chunks: DataFrame, texts: DataFrame) -> DataFrame:

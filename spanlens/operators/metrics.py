@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.spans import covers_half, overlaps, resolved
 from ..storage import materialise, small
 from .bm25 import BM25Index
+from .bm25search import Search
 
 KS = (1, 3, 5, 10)
 
@@ -49,8 +50,12 @@ def first_ranks_of_scores(index: BM25Index, queries: DataFrame, questions: DataF
 
     The first chunk of each kind is the one of the question's text with the best score; its rank is one more than the
     number of chunks that go before it, which is a count. Only the first max(ks) chunks are ranked. A question whose
-    first chunk shares no term with it is ranked in full.
+    first chunk shares no term with it is ranked in full, unless the queries fit in memory: then chunks at score 0 are
+    counted like others, and no score is written but those of the questions' own texts.
     """
+    search = index.search(queries)
+    if search:
+        return _first_ranks_of_search(index, search, queries, questions, chunks, ks)
     scored = materialise(index.score(queries).select("query_id", "doc_id", F.col("score"), F.round("score", 9).alias("s")))
     q = questions.select("question_id", "text_id", "critical_span", "distractor_span")
     c = chunks.select(F.col("chunk_id").alias("doc_id"), F.col("text_id").alias("c_text"), "start_char", "end_char")
@@ -76,6 +81,30 @@ def first_ranks_of_scores(index: BM25Index, queries: DataFrame, questions: DataF
     return near.unionByName(first_ranks(ranked, questions, chunks, ks))
 
 
+def _own(scored: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """question_id and for each kind the place (-s, doc_id) of the first chunk of the question's text, from scores s."""
+    c = chunks.select(F.col("chunk_id").alias("doc_id"), F.col("text_id").alias("c_text"), "start_char", "end_char")
+    own = questions.join(c, F.col("c_text") == F.col("text_id")).join(scored.select(F.col("query_id").alias("question_id"), "doc_id", "s"), ["question_id", "doc_id"], "left")
+    place = F.struct((-F.coalesce("s", F.lit(0.0))).alias("s"), F.col("doc_id"))
+    return own.groupBy("question_id").agg(*[F.min(F.when(cond, place)).alias(name) for name, cond in _criteria().items()])
+
+
+def _first_ranks_of_search(index: BM25Index, search: Search, queries: DataFrame, questions: DataFrame, chunks: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    kinds = list(_criteria())
+    q = small(materialise(questions.select("question_id", "text_id", "critical_span", "distractor_span")))
+    ids = small(materialise(chunks.join(q.select("text_id").distinct(), "text_id", "left_semi").select(F.col("chunk_id").alias("doc_id")).distinct()))
+    scored = materialise(search.scores(search.table.join(ids, "doc_id", "left_semi")).select("query_id", "doc_id", F.round("score", 9).alias("s")))
+    own = chunks.join(q.select("text_id").distinct(), "text_id", "left_semi")
+    places = {r["question_id"]: [None if r[n] is None else (-r[n]["s"], r[n]["doc_id"]) for n in kinds] for r in _own(scored, q, own).collect()}
+    top = index.rank(queries, max(ks))
+    sums = top.join(chunks.select(F.col("chunk_id").alias("doc_id"), "n_tokens"), "doc_id", "left").groupBy(F.col("query_id").alias("question_id"))
+    tokens = sums.agg(*[F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("n_tokens"))), F.lit(0)).alias(f"tokens_{k}") for k in ks])
+    ahead = search.ahead(places, kinds).withColumnRenamed("query_id", "question_id")
+    per = q.join(queries.select(F.col("query_id").alias("question_id")), "question_id").join(ahead, "question_id", "left").join(tokens, "question_id")
+    flags = [_known("critical_span").alias("has_evidence"), _known("distractor_span").alias("has_lure")]
+    return per.select("question_id", *[(F.col(n) + 1).alias(n) for n in kinds], *flags, *[f"tokens_{k}" for k in ks])
+
+
 def recall(rank: str, k: int, among: str | None = None):
     hit = F.coalesce((F.col(rank) <= k).cast("double"), F.lit(0.0))
     return F.avg(hit if among is None else F.when(F.col(among), hit))

@@ -188,15 +188,18 @@ def _evaluation(spark: SparkSession, sf: str) -> tuple[BM25Index, DataFrame, Dat
     """An index of overlap chunks of all documents, the items that some document holds as queries, the same as questions
     with the span there as evidence and the middle third of that document as the distractor, and the chunks."""
     t = texts(spark, sf)
-    # read by every statistic of the index and by the metrics
-    chunks = materialise(chunk.chunk(t, "overlap").withColumn("tokens", word_tokenize(F.col("chunk_text"))).drop("chunk_text"))
     g = materialise(gold(spark, sf))
     span = lambda a, b: F.struct(F.lit("exact").alias("status"), a.alias("start"), b.alias("end"))
     g = g.join(t.select("text_id", F.length("body").alias("n")), "text_id")
     q = materialise(g.select("question_id", "question", "text_id", span(F.col("start"), F.col("end")).alias("critical_span"), span(F.floor(F.col("n") / 3).cast("int"), F.floor(2 * F.col("n") / 3).cast("int")).alias("distractor_span")))
-    docs = chunks.select(F.lit("*").alias("scope"), F.col("chunk_id").alias("doc_id"), "tokens")
+    # chunks are cut and read once, and written without their texts
+    kept = ("text_id", "start_char", "end_char", "n_tokens")
+    docs = chunk.chunk(t, "overlap").select(F.lit("*").alias("scope"), F.col("chunk_id").alias("doc_id"), word_tokenize(F.col("chunk_text")).alias("tokens"), *kept)
     asked = q.select(F.col("question_id").alias("query_id"), F.lit("*").alias("scope"), word_tokenize(F.col("question")).alias("tokens"))
-    return BM25Index(docs), asked, q, chunks
+    index = BM25Index(docs, keep=kept)
+    search = index.search(asked)
+    chunks = search.table if search else materialise(docs.drop("scope", "tokens"))
+    return index, asked, q, chunks.select(F.col("doc_id").alias("chunk_id"), *kept)
 
 
 def _ranked(index: BM25Index, asked: DataFrame, k: int) -> DataFrame:

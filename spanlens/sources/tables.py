@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD, find_all
+from ..storage import materialise, small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,14 +27,17 @@ def containing(bodies: DataFrame, spans: DataFrame, body: str, span: str, keys:
     inner = F.regexp_extract_all(span, F.lit(WORD), F.lit(0))
     s = spans.withColumn("_w", F.array_distinct(F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))))
     asked = s.select(F.explode("_w").alias("_t")).distinct()
-    posts = bodies.select(keys[0], F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)))).alias("_t")).join(asked, "_t")
+    asked = small(materialise(asked))
+    # bodies are read for their words once; neither they nor these words are shuffled, unless words or pairs are many
+    posts = materialise(bodies.select(keys[0], F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)))).alias("_t")).join(asked, "_t"))
     df = posts.groupBy("_t").agg(F.count("*").alias("_n"))
     rare = s.select(keys[1], F.explode("_w").alias("_t")).join(df, "_t", "left")
     rarest = rare.groupBy(keys[1]).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_t")).alias("r")).select(keys[1], F.col("r._t").alias("_t"))
-    pairs = rarest.join(posts, "_t").select(*keys)
+    pairs = posts.join(small(materialise(rarest)), "_t").select(*keys)
     bare = s.where(F.size("_w") == 0).select(keys[1])
     pairs = pairs.union(bodies.select(keys[0]).join(bare))
-    return pairs.join(spans, keys[1]).join(bodies, keys[0]).where(F.contains(body, F.col(span)))
+    pairs = small(materialise(pairs))
+    return bodies.join(pairs, keys[0]).join(spans, keys[1]).where(F.contains(body, F.col(span)))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,3 +206,63 @@ def test_written_tables_go(spark):
     assert os.path.isdir(path) and t.count() == 3
     discard(t, t, None)
     assert not os.path.exists(path)
+
+
+def _disk_bytes(spark):
+    """Bytes of written tables that are still there, and of all shuffles so far."""
+    from pathlib import Path
+
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    written = sum(p.stat().st_size for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).parent.rglob("*.parquet"))
+    return written + sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+@pytest.mark.parametrize("query", ["distractor_rate", "evidence_cov50", "evidence_recall_mrr", "retrieval_trap", "retrieval_vs_answer", "source_recall_mrr", "bm25_char_top5", "context_tokens_stats"])
+def test_rankings_write_and_shuffle_less_than_the_texts(spark, query):
+    from pathlib import Path
+
+    import __spark_entry__
+
+    sf = "/root/testdata/sf0.01"
+    before = _disk_bytes(spark)
+    assert __spark_entry__.queries()[query](spark, sf).count()
+    assert _disk_bytes(spark) - before < Path(sf, "documents.parquet").stat().st_size
+
+
+@pytest.mark.parametrize("grams", [None, (3, 5)])
+def test_queries_that_are_held_rank_like_joined_ones(spark, monkeypatch, grams):
+    import random
+
+    from spanlens.functions.text import word_ngrams
+    from spanlens.operators import bm25, bm25search
+
+    rng = random.Random(9)
+    words = ["ab", "été", "straße", "l'eau", "abc", "abcdef", "x"] + [f"w{i}" for i in range(12)]
+    docs = [(("a", "b")[i % 2], i, [rng.choice(words) for _ in range(rng.choice((0, 1, 7, 40)))]) for i in range(80)]
+    docs += [("a", 100 + i, ["abc", "w1", "w2"]) for i in range(20)] + [("c", 200, ["abc"]), (None, 201, ["abc"])]
+    asked = [(f"q{i}", s, [rng.choice(words) for _ in range(3)]) for i in range(5) for s in ("a", "b")] + [("none", "a", []), ("odd", "a", ["unknown", None]), ("q0", "z", ["abc"])]
+    d = spark.createDataFrame(docs, "scope string, doc_id long, tokens array<string>")
+    q = spark.createDataFrame(asked, "query_id string, scope string, tokens array<string>")
+    if grams:
+        q = q.withColumn("tokens", word_ngrams(F.filter("tokens", lambda t: t.isNotNull()), *grams))
+    for name in ("TOKENS", "HITS", "CELLS"):
+        monkeypatch.setattr(bm25search, name, 50)
+
+    def ranked(rows, k):
+        monkeypatch.setattr(bm25, "ASKED_ROWS", rows)
+        got = BM25Index(d, grams=grams).rank(q, k).withColumn("score", F.round("score", 9))
+        return sorted(map(tuple, got.select("query_id", "doc_id", "score", "rank").collect()))
+
+    for k in (None, 1, 4):
+        assert ranked(1000, k) == ranked(0, k)
+
+
+def test_places_round_as_sql_does(spark):
+    import numpy as np
+    from spanlens.operators.bm25search import places9
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate((rng.random(2000) * 40, np.round(rng.random(2000) * 10, 9) + 5e-10, [0.0, 1.5, 2.0000000005, 0.0000000005]))
+    got = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").select("i", F.round("x", 9).alias("r")).orderBy("i").collect()
+    assert [r.r for r in got] == (places9(x) / 1e9).tolist()

@@ -105,3 +105,21 @@ def test_spans(spark):
     assert not one(spark, spans.overlaps(F.lit(0), F.lit(10), F.lit(10), F.lit(20)))
     assert not one(spark, spans.resolved(F.lit("unresolved"), F.lit(0), F.lit(1)))
     assert not one(spark, spans.resolved(F.lit("exact"), F.lit(None), F.lit(1)))
+
+
+def test_characters_that_may_join_are_told_as_before(spark):
+    every = spark.range(0x110000).where("id not between 55296 and 57343").withColumn("c", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"))
+    # the class without its first bound, which is there to tell most characters at once
+    whole = text._maybe_not_nfc().replace(r"[\x{300}-\x{10FFFF}&&", "", 1)[:-1]
+    odd = every.where(F.rlike("c", F.lit(whole)) != F.rlike("c", F.lit(text._maybe_not_nfc())))
+    assert odd.count() == 0
+    assert unicodedata.normalize("NFC", "é") == "é"
+
+
+def test_words_keep_an_apostrophe_between_letters_only(spark):
+    import re
+
+    texts = ["l'eau d' 'a' b''c d'1 1'd x'y'z 12ab ½'e", "a'b'c'", "rock'n'roll", "''", "é'é"]
+    old = r"[^\W\d_]+'(?=[^\W\d_])|[^\W\d_]+|\d+"
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.word_tokenize(F.col("t"))).collect()]
+    assert got == [re.findall(old, t) for t in texts]
