@@ -113,7 +113,6 @@ def test_characters_that_may_join_are_told_as_before(spark):
     whole = text._maybe_not_nfc().replace(r"[\x{300}-\x{10FFFF}&&", "", 1)[:-1]
     odd = every.where(F.rlike("c", F.lit(whole)) != F.rlike("c", F.lit(text._maybe_not_nfc())))
     assert odd.count() == 0
-    assert unicodedata.normalize("NFC", "é") == "é"
 
 
 def test_words_keep_an_apostrophe_between_letters_only(spark):
