@@ -15,8 +15,8 @@ from .common import discard, lower_ascii, materialise, texts
 
 #: A word is a run of a-z, 0-9 and characters beyond ASCII, after A-Z are lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words, counted before lower-casing.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What is not of a word, before lower-casing.
+NOT_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Up to so many rows, a table of terms, windows or documents is broadcast; a larger one is joined by shuffle.
 SMALL_ROWS = 200_000
 
@@ -25,6 +25,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
+def n_words(text: Column) -> Column:
+    """How many words() a text has: pieces between what is no word, without the empty ones at its ends."""
+    pieces = F.split(text, NOT_ANY_CASE)
+    return F.size(F.array_remove(pieces, "")).cast("long")
+
+
 def small(df: DataFrame) -> DataFrame:
     """df, a written table, to be broadcast if its rows are few enough."""
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
@@ -129,7 +135,7 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     Null and empty texts have no words and are clean; an empty benchmark leaves all clean. Other columns are not read.
     """
     found = _found(docs, benchmark, size)
-    base = texts(docs).select("doc_id", F.xxhash64("text").alias("tie"), F.regexp_count("text", F.lit(ANY_CASE)).cast("long").alias("n_words"))
+    base = texts(docs).select("doc_id", F.xxhash64("text").alias("tie"), n_words(F.col("text")).alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     got = F.coalesce("items", F.array().cast("array<string>"))
     return base.join(small(found), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("tie") == F.col("of_tie")), "left").select(

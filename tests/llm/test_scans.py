@@ -327,3 +327,14 @@ def test_ranks_that_do_not_settle_are_an_error(spark, monkeypatch):
 def test_hosts_and_paths(spark):
     r = spark.createDataFrame([("x://A.b/c/d?e#f\ng",)], "u string").select(urlfilter.host(F.col("u")).alias("h"), urlfilter.path(F.col("u")).alias("p")).first()
     assert (r.h, r.p) == ("a.b", "/c/d")
+
+
+def test_words_are_counted_without_a_match_for_each(spark):
+    texts = ["", " ", "One two", "-a-", "é'É ß", "A1 b_c\tD", "!?", "x" * 50, "ü", "Σ Σ 9"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select(decontam.n_words(F.col("t")).alias("n"), F.size(decontam.words(F.col("t"))).cast("long").alias("w"), F.regexp_count("t", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).alias("r")).collect()
+    assert all(r.n == r.w == r.r for r in got)
+    # a count of matches makes an object of each
+    bench = spark.createDataFrame([("1", "one two")], "item_id string, text string")
+    report = decontam.report(df.select(F.col("i").cast("long").alias("doc_id"), F.col("t").alias("text")), bench)
+    assert "regexp_" not in report._jdf.queryExecution().optimizedPlan().toString()
