@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ WIDTHS, FILTERS, DIM, BITS = (1, 2, 3), 8, 8, 16
 _PREFIXES = (0, 3, 4, 5)
 _LOWER = lower_bytes()
 _BATCH = 3 << 20
+#: Bytes of texts that drop_toxic() scores at once.
+_PART = 512 << 10
 
 
 def _word_bytes() -> np.ndarray:
@@ -292,8 +295,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             trim()
             column = batch.column(at)
-            for i in range(0, len(column), 500):
-                part = [t or b"" for t in column.slice(i, 500).cast(pa.binary()).to_pylist()]
-                yield batch.slice(i, 500).filter(pa.array(model.scores(part) < CUT))
+            # few texts at once: hashing takes many times their bytes
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+            for group in by_bytes(enumerate(sizes), _PART, lambda r: r[1] + 64):
+                part = batch.slice(group[0][0], len(group))
+                texts_ = [t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()]
+                yield part.filter(pa.array(model.scores(texts_) < CUT))
 
     return docs.mapInArrow(run, docs.schema)

@@ -338,3 +338,29 @@ def test_words_are_counted_without_a_match_for_each(spark):
     bench = spark.createDataFrame([("1", "one two")], "item_id string, text string")
     report = decontam.report(df.select(F.col("i").cast("long").alias("doc_id"), F.col("t").alias("text")), bench)
     assert "regexp_" not in report._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_toxic_rows_go_in_parts_of_few_bytes(spark, monkeypatch):
+    from spanlens.llm import toxicity
+
+    largest = []
+    rng = random.Random(3)
+    rows = [(i, ("hate " if i % 2 else "kind ") * 3 + " ".join(rng.choice("abcdef") for _ in range(4))) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (900, None), (901, ""), *[(1000 + i, "kind word " * 20_000) for i in range(12)]], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit_labelled(docs, labels)
+
+    class Watched:
+        def scores(self, texts):
+            largest.append(sum(map(len, texts)))
+            return model.scores(texts)
+
+    monkeypatch.setattr(toxicity, "fit_labelled", lambda *_: model)
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: run)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda m: type("B", (), {"value": Watched()})())
+    run = toxicity.drop_toxic(docs, labels)
+    kept = [d for b in run(iter(docs.toArrow().to_batches())) for d in b.column(0).to_pylist()]
+    monkeypatch.undo()
+    assert max(largest) < 1 << 20 and len(kept) == len(set(kept))
+    want = [r.doc_id for r in toxicity.score(docs, model).where("predicted = 0").collect()]
+    assert sorted(kept) == sorted(want) and {900, 901} <= set(kept)
