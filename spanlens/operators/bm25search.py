@@ -3,6 +3,7 @@ scores are shuffled. Postings are written as one row for a text."""
 
 from __future__ import annotations
 
+import ctypes
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
@@ -18,7 +19,7 @@ from ..session import ship
 from ..storage import materialise
 
 #: So many tokens, hits of terms and queries, and scores are held at once; a text that has more is held alone.
-TOKENS, HITS, CELLS = 400_000, 1_000_000, 1_000_000
+TOKENS, HITS, CELLS = 200_000, 500_000, 500_000
 #: n-grams of so many words are kept by a worker.
 WORDS = 100_000
 
@@ -33,6 +34,12 @@ def places9(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _trim() -> None:
+    """Gives memory that is free in this worker back, where glibc can."""
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each range, one after another."""
     ends = np.cumsum(sizes)
@@ -116,6 +123,7 @@ class Search:
             terms, scopes, pairs = shared.value
             grams = _Grams(terms, sizes) if sizes else None
             for batch in batches:
+                _trim()
                 tokens = batch.column(batch.schema.get_field_index("tokens"))
                 for a, b in _cuts(np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)) + 1, TOKENS):
                     part = batch.slice(a, b - a)
@@ -127,6 +135,8 @@ class Search:
                     at = pa.array(np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32))
                     lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (term, tf)]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("scope", "doc_id", "dl")), *lists, *(part.column(c) for c in kept)], names=["scope", "doc_id", "dl", "terms", "tfs", *kept])
+            del grams
+            _trim()
 
         return run
 
@@ -154,10 +164,14 @@ class Search:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, more = shared.value
             for batch in batches:
-                for block in _blocks(batch, model):
-                    got = each(model, *block, *more)
-                    if got is not None and len(got[0]):
-                        yield pa.RecordBatch.from_arrays(got, names=schema.names)
+                _trim()
+                # postings of a whole batch would take several numbers each at once
+                for a, b in _cuts(np.asarray(pc.fill_null(pc.list_value_length(batch.column(3)), 0)).astype(np.int64) + 1, HITS):
+                    for block in _blocks(batch.slice(a, b - a), model):
+                        got = each(model, *block, *more)
+                        if len(got[0]):
+                            yield pa.RecordBatch.from_arrays(got, names=schema.names)
+            _trim()
 
         return rows.select("scope", "doc_id", "dl", "terms", "tfs").mapInArrow(run, schema)
 
