@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanlens.llm import neardup, toxicity
 from spanlens.llm.components import components
@@ -192,6 +193,71 @@ def test_labels_of_one_kind(spark):
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
 
 
+def rows_beyond_a_sample(spark, n=3400):
+    """Texts and labels of which the 150 toxic rows of the greatest hashes alone say grubby, and held-out texts that do, or not."""
+    ids = spark.range(n).select(F.col("id").alias("doc_id")).withColumn("h", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1)))
+    ids = ids.withColumn("held", toxicity.held_out()).orderBy("h").collect()
+    own, held = [r.doc_id for r in ids if not r.held], [r.doc_id for r in ids if r.held]
+    rng = random.Random(4)
+
+    def text(*more):
+        words = [rng.choice("ta tam no nost ri rix el elpp um".split()) for _ in range(rng.randint(10, 20))]
+        return " ".join([*words, *more, rng.choice(words)])
+
+    toxic = [(d, text("vile")) for d in own[:1700]] + [(d, text("grubby")) for d in own[-150:]]
+    clean = [(d, text()) for d in own[1700:-150]]
+    asked = [(d, text(*["grubby"] * (i % 2))) for i, d in enumerate(held[:200])]
+    docs = spark.createDataFrame(toxic + clean + asked, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 1) for d, _ in toxic] + [(d, 0) for d, _ in clean], "doc_id long, toxic int")
+    return docs, labels, {d: int("grubby" in t) for d, t in asked}
+
+
+def test_all_labelled_rows_are_learnt_from(spark):
+    docs, labels, want = rows_beyond_a_sample(spark)
+    model = toxicity.fit_labelled(docs, labels)
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect() if r.doc_id in want}
+    assert sum(got[d] == y for d, y in want.items()) >= 0.97 * len(want)
+
+
+def test_partitions_do_not_change_the_model(spark):
+    docs, labels, want = rows_beyond_a_sample(spark)
+    several = toxicity.fit_labelled(docs, labels, group_bytes=60_000)
+    again = toxicity.fit_labelled(docs.union(docs.limit(50)).repartition(7), labels.union(labels).repartition(3), group_bytes=60_000)
+    for name in ("table", "bias", "out", "out_bias", "cuts"):
+        assert np.array_equal(getattr(several, name), getattr(again, name)), name
+    assert all(np.array_equal(a, b) for a, b in zip(several.filters, again.filters, strict=True))
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, several).collect() if r.doc_id in want}
+    assert sum(got[d] == y for d, y in want.items()) >= 0.97 * len(want)
+
+
+def test_groups_of_one_label_count():
+    rows, labels = toxic_rows(120)
+    sums = []
+    for order in (1, -1):
+        learnt = toxicity.Learnt()
+        for part in [slice(0, None, 3), slice(1, None, 3), slice(0, 60), slice(60, None)][::order]:  # a toxic group, a clean one, two mixed ones
+            learnt.add([t.encode() for _, t in rows[part]], [y for _, y in labels[part]], steps=5)
+        sums.append(learnt.sums)
+    assert np.array_equal(*sums)
+    assert sums[0][-1, :2].tolist() == [120, 80]
+    word = toxicity.word_ids([b"vile"])[0][0, 0]
+    assert sums[0][word, :2].tolist() == [0, 2 * sum("vile" in t.split() for _, t in rows)] and sums[0][word, 2] == 2
+
+
+def test_threshold_counts_rows():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        z, clean, toxic = rng.integers(-4, 5, 12) / 2.0, rng.integers(0, 4, 12), rng.integers(0, 4, 12)
+        toxic[0] += 1
+
+        def f1(cut):
+            hit, called = toxic[z >= cut].sum(), (clean + toxic)[z >= cut].sum()
+            return 2 * hit / (called + toxic.sum())
+
+        cut = toxicity._threshold(z, clean, toxic)
+        assert cut not in z and f1(cut) == pytest.approx(max(f1(c) for c in np.arange(-5, 6, 0.25)))
+
+
 def test_scores_do_not_depend_on_the_batch():
     rows, labels = toxic_rows(120)
     model = toxicity.fit([(t.encode(), y) for (_, t), (_, y) in zip(rows, labels, strict=True)], steps=40)
